@@ -63,14 +63,16 @@ def _short(w: Column) -> Column:
 
 def _positions(rows: DataFrame, key: str) -> DataFrame:
     """(key, at, t0, t3, t6, t9): each block hash with those of the blocks further on (null past the end)."""
-    at = F.sequence(F.lit(0), F.size("t") - 1)
+    # no filter on the arrays: the planner would push it below them and build them twice
+    at = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
     ahead = F.transform(at, lambda i: F.struct(i.alias("at"), *(F.get("t", i + g).alias(f"t{g}") for g in (0, *GAPS))))
-    return rows.where(F.size("t") > 0).select(key, F.inline(ahead))
+    return rows.select(key, F.inline(ahead))
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
     """(seed, item_id, at): hash, and the position of its first word in the item."""
-    rows = items.select("item_id", normalised(F.col("text")).alias("w")).withColumn("t", _blocks(F.col("w"))).withColumn("n", F.size("w"))
+    rows = stored(items.select("item_id", normalised(F.col("text")).alias("w"))).withColumn("n", F.size("w"))
+    rows = stored(rows.withColumn("t", _blocks(F.col("w"))))
     every = _positions(rows.where(F.col("n") >= SPAN), "item_id")
     long = every.select("item_id", "at", F.inline(F.array(*(F.struct(F.when(F.col(f"t{g}").isNotNull(), _seeds(F.col(f"t{g}"), g)).alias("seed")) for g in GAPS)))).where("seed is not null")
     mid = _positions(rows.where((F.col("n") >= BLOCK) & (F.col("n") < SPAN)), "item_id").select("item_id", "at", F.col("t0").alias("seed"))
@@ -93,8 +95,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     seeds = stored(benchmark_seeds(items))
     n_seeds = seeds.count()
-    item_words = items.select("item_id", normalised(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    blocks = item_words.withColumn("t", _blocks(F.col("w"))).select(F.explode("t").alias("t0")).distinct()
+    item_words = stored(items.select("item_id", normalised(F.col("text")).alias("w"))).withColumn("n", F.size("w"))
+    blocks = stored(item_words.select(_blocks(F.col("w")).alias("t"))).select(F.explode("t").alias("t0")).distinct()
     rows = docs.select("doc_id", normalised(F.col("text")).alias("w"))
     seen = _positions(rows.select("doc_id", _blocks(F.col("w")).alias("t")), "doc_id").join(_sized(blocks, n_seeds), "t0")
     keys = F.array(F.col("t0"), *(F.when(F.col(f"t{g}").isNotNull(), _seeds(F.col(f"t{g}"), g)) for g in GAPS))

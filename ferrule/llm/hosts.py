@@ -30,11 +30,8 @@ LIMIT = 0.5
 RULES = ("few_words", "repeats", "symbols", "dup_lines")
 
 
-def _repeated_words(found: Column, hashes: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more. Looks at positions only where
-    some hash does."""
-    n = F.size(hashes)
-    pairs = F.sort_array(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), n - 1).alias("at")))
+def _repeated_words(pairs: Column) -> Column:
+    """Words covered by windows whose hash occurs twice or more; ``pairs``: (hash, position), sorted."""
     again = F.filter(
         F.transform(pairs, lambda x, i: F.struct(
             x["at"].alias("at"),
@@ -63,14 +60,17 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     step = step.select(
         "doc_id", "host", "word_chars", "n_symbols", F.size("w").cast("long").alias("n_words"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "w",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(
             F.size("w") >= WINDOW,
             F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW))),
         ).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
     )
     step = step.withColumn("some", F.size(F.array_distinct("hashes")) < F.size("hashes"))
-    repeated = F.when(F.col("some"), _repeated_words(F.col("w"), F.col("hashes"))).otherwise(0).cast("long")
+    # a column of its own: an expression used within a lambda would be computed for each element
+    places = F.arrays_zip(F.col("hashes").alias("h"), F.sequence(F.lit(0), F.size("hashes") - 1).alias("at"))
+    step = step.withColumn("pairs", F.when(F.col("some"), F.sort_array(places)))
+    repeated = F.coalesce(_repeated_words(F.col("pairs")), F.lit(0)).cast("long")
     return step.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
 
 

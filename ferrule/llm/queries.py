@@ -6,7 +6,7 @@ and derives the contract's columns from what the operator returns.
 
 from __future__ import annotations
 
-from ferrule.llm import simhash, tokens
+from ferrule.llm import chat, decontam, hosts, packing, pii, repeats, simhash, tokens, toxicity, warc
 from ferrule.llm.common import table
 
 
@@ -20,8 +20,16 @@ def queries() -> dict:
     return {
         "op1_simhash": lambda spark, d: simhash.query(table(spark, d, "documents")),
         "op2_token_counts": lambda spark, d: tokens.query(table(spark, d, "documents"), vocabulary_path()),
+        "op3_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+        "op4_warc": lambda spark, d: warc.query(table(spark, d, "pages")),
+        "op5_chat": lambda spark, d: chat.query(spark, table(spark, d, "conversations")),
+        "op6_repeats": lambda spark, d: repeats.query(table(spark, d, "documents")),
+        "op7_personal_data": lambda spark, d: pii.query(table(spark, d, "documents")),
+        "op8_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op9_host_rules": lambda spark, d: hosts.query(table(spark, d, "documents")),
+        "op10_decontamination": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op9_host_rules": hosts.ORACLE}

@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.vocab import ENDINGS, INTENT_STOP, STOP, VARIANTS
 
 
-def stem(word: Column) -> Column:
-    out = word
-    for ending in reversed(ENDINGS):
-        fits = (F.length(word) > 4) & word.endswith(ending)
-        out = F.when(fits, F.substring(word, F.lit(1), F.length(word) - len(ending))).otherwise(out)
-    return out
+def in_list(name: str, values: list[str]) -> Column:
+    """Whether a column is one of many fixed values (one expression, not a literal each)."""
+    return F.expr(f"{name} IN ({', '.join(repr(v) for v in values)})")
 
 
-def norm(word: Column) -> Column:
-    """The common form of a spelling variant, else the stem."""
-    table = F.create_map(*(F.lit(x) for pair in VARIANTS.items() for x in pair))
-    return F.when(word.isin(list(VARIANTS)), table[word]).otherwise(stem(word))
+def plain_norm(word: str) -> str:
+    """``norm`` of one fixed word, for vocabularies."""
+    ending = next((e for e in ENDINGS if len(word) > 4 and word.endswith(e)), "")
+    return VARIANTS.get(word) or word[: len(word) - len(ending)]
 
 
-def tokenize(text: Column) -> Column:
-    """Normalised tokens in order; compound words also give their parts."""
-    raw = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9+#._-]+"), lambda w: F.btrim(w, F.lit("._-")))
-    raw = F.filter(raw, lambda w: (F.length(w) >= 2) & ~w.isin(STOP))
+def norm(name: str) -> Column:
+    """The common form of a spelling variant, else the word without the first ending that fits."""
+    variants = " ".join(f"WHEN {k!r} THEN {v!r}" for k, v in VARIANTS.items())
+    endings = " ".join(f"WHEN length({name}) > 4 AND endswith({name}, {e!r}) THEN left({name}, length({name}) - {len(e)})" for e in ENDINGS)
+    return F.expr(f"CASE {name} {variants} ELSE CASE {endings} ELSE {name} END END")
 
-    def tokens(w: Column) -> Column:
-        parts = F.transform(F.filter(F.split(w, "[-.]"), lambda p: (F.length(p) > 2) & ~p.isin(STOP)), norm)
-        return F.when(w.rlike("[-.]"), F.concat(F.array(norm(w)), parts)).otherwise(F.array(norm(w)))
 
-    return F.flatten(F.transform(raw, tokens))
+def token_rows(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(keys..., term): normalised tokens, a row each, in no order.
+
+    Split at anything but letters, digits and ``+#._-``; stop words and single letters go; compound
+    words also give their parts. Works on exploded rows, where expressions are compiled.
+    """
+    raw = rows.select(*keys, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9+#._-]+")).alias("_w"))
+    raw = raw.select(*keys, F.btrim("_w", F.lit("._-")).alias("_w")).where((F.length("_w") >= 2) & ~in_list("_w", STOP))
+    stop = ", ".join(repr(w) for w in STOP)
+    each = F.expr(f"CASE WHEN _w RLIKE '[-.]' THEN concat(array(_w), filter(split(_w, '[-.]'), p -> length(p) > 2 AND p NOT IN ({stop}))) ELSE array(_w) END")
+    return raw.select(*keys, F.explode(each).alias("_w")).select(*keys, norm("_w").alias("term"))
 
 
 def norm_key(text: Column) -> Column:
@@ -50,7 +55,7 @@ def split_words(text: Column) -> Column:
 
 def intent_tokens(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9_-]{2,}"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda w: ~w.isin(INTENT_STOP)))
+    return F.array_distinct(F.filter(found, lambda w: ~F.array_contains(F.split(F.lit(" ".join(INTENT_STOP)), " "), w)))
 
 
 def intent_key(tokens: Column) -> Column:

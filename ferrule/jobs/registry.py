@@ -1,11 +1,15 @@
-"""All queries of the library, gathered from the job modules."""
+"""All queries of the library, gathered from the job modules: name -> (function, DuckDB SQL or None)."""
 
 from __future__ import annotations
 
+from ferrule.jobs import ranking
+
+_ALL = ranking.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import norm, tokenize
+from ferrule.functions.text import plain_norm, token_rows
 from ferrule.functions.vocab import GENERIC
 
 K1, B, NAME_BOOST, GENERIC_DAMP = 1.2, 0.6, 2.5, 0.4
@@ -19,17 +19,16 @@ DEPTH, ALPHA, DENSE_BONUS = 50, 0.5, 0.35
 
 
 def postings(items: DataFrame, text: Column, name: Column | None = None) -> DataFrame:
-    """(item_id, term, tf, length, in_name)."""
-    rows = items.select("item_id", tokenize(text).alias("tokens"), tokenize(name if name is not None else F.lit("")).alias("names"))
-    rows = rows.select("item_id", F.size("tokens").alias("length"), "names", F.explode("tokens").alias("term"))
-    rows = rows.select("item_id", "length", "term", F.array_contains("names", F.col("term")).alias("in_name"))
-    return rows.groupBy("item_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("in_name").alias("in_name"))
+    """(item_id, term, tf, in_name)."""
+    counts = token_rows(items, text, "item_id").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if name is None:
+        return counts.withColumn("in_name", F.lit(False))
+    names = token_rows(items, name, "item_id").distinct().withColumn("in_name", F.lit(True))
+    return counts.join(names, ["item_id", "term"], "left").withColumn("in_name", F.coalesce("in_name", F.lit(False)))
 
 
 def idf(n: Column, df: Column, term: Column) -> Column:
-    generic = F.lit(False)
-    words = [norm(F.lit(w)) for w in GENERIC]
-    generic = term.isin(words)
+    generic = F.array_contains(F.split(F.lit(" ".join(map(plain_norm, GENERIC))), " "), term)
     value = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return F.when(generic, value * GENERIC_DAMP).otherwise(value)
 
@@ -39,14 +38,14 @@ def bm25(posted: DataFrame, queries: DataFrame, n_items: DataFrame) -> DataFrame
 
     ``queries``: (query_id, text). ``n_items``: one row (n), the number of items with or without tokens.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+    q = token_rows(queries, F.col("text"), "query_id").distinct()
     stats = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = posted.groupBy("item_id").agg(F.first("length").alias("length")).agg(F.sum("length").alias("total")).crossJoin(n_items)
-    corpus = lengths.select("n", (F.col("total") / F.col("n")).alias("avg_length"))
+    lengths = posted.groupBy("item_id").agg(F.sum("tf").alias("length"))
+    corpus = posted.agg(F.sum("tf").alias("total")).crossJoin(n_items).select("n", (F.col("total") / F.col("n")).alias("avg_length"))
     terms = q.join(stats, "term", "left").crossJoin(F.broadcast(corpus))  # one row
     terms = terms.withColumn("idf", idf(F.col("n"), F.coalesce("df", F.lit(0)), F.col("term")))
     total = terms.groupBy("query_id").agg(F.sum("idf").alias("q_idf"))
-    found = terms.where("df is not null").join(posted, "term")
+    found = terms.where("df is not null").join(posted, "term").join(lengths, "item_id")
     f = F.col("tf")
     part = F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))) * F.when(F.col("in_name"), NAME_BOOST).otherwise(1.0)
     raw = found.groupBy("query_id", "item_id").agg(F.sum(part).alias("raw"))
@@ -94,5 +93,5 @@ def fuse(lexical: DataFrame, nearest: DataFrame, alpha: float = ALPHA) -> DataFr
     both = a.join(b, ["query_id", "item_id"], "full_outer")
     zero = F.lit(0.0)
     fused = F.round(alpha * F.coalesce("near", zero) + (1 - alpha) * F.coalesce("lex", zero), 5)
-    score = F.round(F.coalesce("base", zero) + F.coalesce("bonus", zero), 3)
+    score = F.round(F.coalesce("base", zero) + F.coalesce("bonus", zero), 4)
     return ranked(both.select("query_id", "item_id", fused.alias("fused"), score.alias("score")), None, "fused")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.jobs import ranking
+from ferrule.jobs import prompts, ranking, signals
 
-_ALL = ranking.QUERIES
+_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES
 
 
 def queries() -> dict:

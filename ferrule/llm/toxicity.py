@@ -20,9 +20,9 @@ The model (vocabulary and index) is bounded by ``MAX_TRAIN`` and ``MAX_TERMS``
 whatever the size of the tables, and broadcast; scoring is a pass over the
 documents without a shuffle.
 
-Edge cases: null and empty texts score as texts without terms; without any
-labelled rows every score is 0.5 of no evidence, that is the rate 0 smoothed by
-one vote; rows without a doc_id are scored and not held out; repeated label
+Edge cases: null and empty texts score as texts without terms; that rate is
+smoothed by one vote at the rate of all examples; without any labelled rows
+every score is 0; rows without a doc_id are scored and not held out; repeated label
 rows of a document count once, toxic if any says so; other columns are ignored.
 """
 
@@ -37,6 +37,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ferrule.llm.common import stored
 
 #: Labelled rows that the model is fitted on, at most: those first in the order of a hash.
 MAX_TRAIN = 20_000
@@ -78,7 +81,8 @@ class Index:
             if len(known[2]) < 3 and doc_id is not None:
                 known[2].append(doc_id)
         none = classes.pop((), [0, 0, []])
-        self.rate = (none[1] + 0.5) / (none[0] + 1) if none[0] else 0.5
+        common = sum(e[1] for e in examples) / len(examples) if examples else 0.0
+        self.rate = (none[1] + common) / (none[0] + 1)
         self.size = np.array([c[0] for c in classes.values()], np.float64)
         self.toxic = np.array([c[1] for c in classes.values()], np.float64)
         self.evidence = [c[2] for c in classes.values()]
@@ -165,8 +169,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
                 yield pa.record_batch([pa.array(["", *found]), pa.array([label] * (len(found) + 1), pa.int32())], ["term", "toxic"])
 
     counts = rows.mapInArrow(spread, "term string, toxic int").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
-    from ferrule.llm.common import stored
-
     counts = stored(counts)
     whole = counts.where("term = ''").collect()
     if not whole:
@@ -202,16 +204,22 @@ def score(docs: DataFrame, model: Index) -> DataFrame:
                 [*names, "score", "predicted", "evidence"],
             )
 
-    from pyspark.sql import types as T
-
     kinds = [*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))]
     return docs.mapInArrow(run, T.StructType(kinds))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic."""
-    names = docs.columns
-    return score(docs, fit(docs, labels)).where("predicted = 0").select(names)
+    """``docs`` without those predicted toxic; all its columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keep = [index.score({t: n for t, n in terms(x.as_py()).items() if t in index.idf})[0] < THRESHOLD for x in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

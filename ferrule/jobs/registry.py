@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.jobs import prompts, ranking, signals
+from ferrule.jobs import prompts, ranking, signals, streams
 
-_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES
+_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES
 
 
 def queries() -> dict:

@@ -39,10 +39,14 @@ def asof_view(spark, d):
 def one_to_one(spark, d):
     """Each purchase takes the most recent view within the window that no earlier purchase took.
 
-    A fold over a user's events in order; the stack of open views is bounded by the window.
+    A fold over a user's events in order. No view outlives a pause longer than the window, so a log is
+    cut at its pauses: what is gathered is one busy stretch, not all that a user ever did.
     """
     e = _events(spark, d).where("event_type in ('view', 'purchase')")
-    log = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("event_type") == "view", 0).otherwise(1).alias("kind"), "event_id"))).alias("log"))
+    w = Window.partitionBy("user_id").orderBy("at", "event_id")
+    e = e.withColumn("pause", F.coalesce((F.col("at") - F.lag("at").over(w) > WINDOW).cast("int"), F.lit(0)))
+    e = e.withColumn("stretch", F.sum("pause").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    log = e.groupBy("user_id", "stretch").agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("event_type") == "view", 0).otherwise(1).alias("kind"), "event_id"))).alias("log"))
     start = F.struct(F.array().cast("array<struct<at:bigint,id:bigint>>").alias("open"), F.array().cast("array<struct<buy:bigint,view:bigint,seconds:bigint>>").alias("pairs"))
 
     def step(acc, x):

@@ -139,6 +139,12 @@ WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 c AS (SELECT label AS query_id, list(x ORDER BY k) AS q FROM (SELECT label, k, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS k FROM e) GROUP BY ALL) GROUP BY label),
 s AS (SELECT query_id, vec_id AS item_id, label, round(list_cosine_similarity(v, q), 4) AS cosine FROM e, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM s)"""
+FUSED = BM + """, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM (SELECT a.item_id AS query_id, e.vec_id AS item_id, round(list_cosine_similarity(e.v, b.v), 4) AS cosine FROM benchmark a JOIN e b ON a.item_id = b.vec_id, e)),
+d AS (SELECT query_id, item_id, CASE WHEN count(*) OVER w > 1 THEN 1 - (rank - 1)::DOUBLE / (count(*) OVER w - 1) ELSE 1.0::DOUBLE END AS near, 0.35::DOUBLE * (1 - (rank - 1)::DOUBLE / count(*) OVER w) AS bonus FROM dn WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)),
+l AS (SELECT query_id, item_id, score AS base, (score - min(score) OVER w) / CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS lex FROM bmr WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, item_id, round(0.5::DOUBLE * coalesce(near, 0) + 0.5::DOUBLE * coalesce(lex, 0), 5) AS fused, round(coalesce(base, 0) + coalesce(bonus, 0), 4) AS score FROM l FULL JOIN d USING (query_id, item_id)),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, item_id) AS rank FROM f)"""
 
 QUERIES = {
     "token_counts": (tokens, f"WITH {sqltext.raw('documents', 'doc_id', 'text')}, t AS ({sqltext.tokens('documents', 'doc_id', 'text')}) SELECT term, count(*) AS n FROM t GROUP BY term"),
@@ -148,12 +154,7 @@ QUERIES = {
     "bm25_name_boost": (name_boost, None),
     "dense_topk": (dense_topk, _DENSE + " SELECT query_id, item_id, cosine, rank FROM r WHERE rank <= 50"),
     "dense_precision": (dense_recall, _DENSE + " SELECT query_id, round(avg((label = query_id)::INT), 4) AS precision_50 FROM r WHERE rank <= 50 GROUP BY query_id"),
-    "fused_topk": (fused, BM + """, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM (SELECT a.item_id AS query_id, e.vec_id AS item_id, round(list_cosine_similarity(e.v, b.v), 4) AS cosine FROM benchmark a JOIN e b ON a.item_id = b.vec_id, e)),
-d AS (SELECT query_id, item_id, CASE WHEN count(*) OVER w > 1 THEN 1 - (rank - 1)::DOUBLE / (count(*) OVER w - 1) ELSE 1.0::DOUBLE END AS near, 0.35::DOUBLE * (1 - (rank - 1)::DOUBLE / count(*) OVER w) AS bonus FROM dn WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)),
-l AS (SELECT query_id, item_id, score AS base, (score - min(score) OVER w) / CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS lex FROM bmr WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, item_id, round(0.5::DOUBLE * coalesce(near, 0) + 0.5::DOUBLE * coalesce(lex, 0), 5) AS fused, round(coalesce(base, 0) + coalesce(bonus, 0), 4) AS score FROM l FULL JOIN d USING (query_id, item_id)),
-z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, item_id) AS rank FROM f) SELECT * FROM z WHERE rank <= 10"""),
+    "fused_topk": (fused, FUSED + " SELECT * FROM z WHERE rank <= 10"),
     "select_floor_tail": (floor_tail, BM + ", x AS (SELECT * FROM bmr WHERE rank <= 50), y AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM x) SELECT query_id, item_id, score, rank FROM y WHERE score >= 0.2 AND score >= m * 0.55::DOUBLE"),
     "select_cliff": (cliff, BM + """, x AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS b, count(*) OVER (PARTITION BY query_id) AS n FROM bmr WHERE rank <= 50),
 y AS (SELECT *, CASE WHEN rank <= 15 AND b > 0 THEN (b - score) / b END AS drp FROM x),

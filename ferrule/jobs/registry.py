@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.jobs import prompts, ranking, signals, streams
+from ferrule.jobs import choices, prompts, ranking, signals, streams
 
-_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES
+_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES | choices.QUERIES
 
 
 def queries() -> dict:

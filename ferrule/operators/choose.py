@@ -1,4 +1,4 @@
-"""Choosing results from a ranking: floor, tail ratio, score cliff, quota, diversity."""
+"""Choosing results from a ranking: floor, tail ratio, score cliff, quota, diversity, rerank gate."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOOR, TAIL, DROP, CLIFF_ROWS = 0.28, 0.55, 0.35, 15
+#: Rerank gate: a lead that is not questioned, odds enough alone, odds and margin enough together, score a pick must have.
+LEAD, SURE, MARGIN, FAIR, LEAST = 1.6, 0.75, 0.02, 1.2, 0.6
 
 
 def _by_rank():
@@ -61,3 +63,27 @@ def diversify(rows: DataFrame, most: float = 0.85, keep: int = 2) -> DataFrame:
     chosen = listed.select("query_id", "rows", F.aggregate("rows", start, step).alias("kept"))
     enough = F.when((F.size("kept") < keep) & (F.size("rows") > keep), F.slice("rows", 1, keep)).otherwise(F.col("kept"))
     return chosen.select("query_id", F.inline(enough)).select("query_id", "item_id", "rank")
+
+
+def rerank(rows: DataFrame, odds: DataFrame, n: int = 5) -> DataFrame:
+    """``rows`` with gate and place: the pick of an outside model goes first if its odds and its own score allow.
+
+    ``rows``: (query_id, item_id, score, rank); ``odds``: (query_id, item_id, p), a row each; missing odds
+    are 0. Only the first n rows of a query are in question. Gates: clear (the leader is far ahead, or
+    alone), unsure (the odds are too even), weak (the pick scores too low), moved.
+    """
+    head = rows.where(F.col("rank") <= n).join(odds, ["query_id", "item_id"], "left")
+    p = F.coalesce("p", F.lit(0.0))
+    # at most n rows a query are gathered
+    g = head.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct((-p).alias("p"), "rank", "score"))).alias("l"),
+        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s0"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s1"),
+    )
+    g = g.select("query_id", "s0", "s1", F.size("l").alias("n"), F.get("l", F.lit(0)).alias("a"), F.get("l", F.lit(1)).alias("b"))
+    best = -F.col("a.p")
+    sure = (best >= SURE) | ((best + F.col("b.p") >= MARGIN) & (best >= FAIR / F.greatest(F.col("n"), F.lit(2))))
+    gate = F.when((F.col("n") < 2) | (F.col("s0") >= LEAD * F.col("s1")), "clear").when(~sure, "unsure").when(F.col("a.score") < LEAST * F.col("s0"), "weak").otherwise("moved")
+    g = g.select("query_id", gate.alias("gate"), F.col("a.rank").alias("_pick"))
+    rank = F.col("rank")
+    place = F.when(F.col("gate") != "moved", rank).when(rank == F.col("_pick"), 1).when(rank < F.col("_pick"), rank + 1).otherwise(rank)
+    return rows.join(g, "query_id").withColumn("place", place).drop("_pick")

@@ -95,3 +95,13 @@ def test_front_matter_and_toml(spark):
     assert [r[0] for r in rows.select(tables.front_matter(F.col("t"))).collect()] == [{"name": "c", "desc": "x"}, {}, {}]
     t = spark.createDataFrame([("[mcp.one]\na=1\n [[mcp.two]]\n[other.x]",)], "t string")
     assert t.select(tables.toml_tables(F.col("t"), "mcp")).collect()[0][0] == ["one", "two"]
+
+
+def test_rerank_gate(spark):
+    rows = [(q, i, s, i) for q, scores in ((1, (1.0, 0.9, 0.8)), (2, (2.0, 1.0)), (3, (1.0, 0.9)), (4, (1.0, 0.9, 0.1)), (5, (1.0,))) for i, s in enumerate(scores, 1)]
+    odds = [(1, 3, 0.8), (1, 1, 0.2), (2, 2, 0.9), (3, 1, 0.5), (3, 2, 0.5), (4, 3, 0.9)]
+    ranking = spark.createDataFrame(rows, "query_id int, item_id int, score double, rank int")
+    got = choose.rerank(ranking, spark.createDataFrame(odds, "query_id int, item_id int, p double")).collect()
+    assert {r.query_id: r.gate for r in got} == {1: "moved", 2: "clear", 3: "unsure", 4: "weak", 5: "clear"}
+    assert {r.item_id: r.place for r in got if r.query_id == 1} == {3: 1, 1: 2, 2: 3}
+    assert all(r.place == r["rank"] for r in got if r.query_id != 1)

@@ -161,7 +161,7 @@ def _sorted_out(occurrences: DataFrame) -> DataFrame:
         before = None  # (anchor, context) of the last row already given out, if its group may go on
         opened = None  # anchor that is known to have several contexts
 
-        def sort_out(t: pa.RecordBatch, prior: tuple | None, upcoming: int | None) -> pa.RecordBatch:
+        def sort_out(t: pa.RecordBatch, prior: tuple | None, upcoming: tuple | None) -> pa.RecordBatch:
             a, c = (t.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             new_a = np.append(prior is None or prior[0] != a[0], a[1:] != a[:-1])
             new_c = new_a.copy()
@@ -176,8 +176,10 @@ def _sorted_out(occurrences: DataFrame) -> DataFrame:
             several = contexts[group_a] > 1
             if prior is not None and not new_a[0]:
                 several |= (group_a == group_a[0]) & (new_c[0] | (contexts[group_a[0]] > 0) | (opened == a[0]))
-            if upcoming is not None and upcoming == a[-1]:
+            if upcoming is not None and upcoming[0] == a[-1]:
                 several |= group_a == group_a[-1]
+                if upcoming[1] == c[-1]:
+                    twice |= group_c == group_c[-1]
             is_open = several & (new_c | ~twice)
             keep = np.flatnonzero(twice | is_open)
             found = t.take(pa.array(keep))
@@ -192,7 +194,7 @@ def _sorted_out(occurrences: DataFrame) -> DataFrame:
             # give out all but the last context group, or, if it fills the batch, all but its last row
             cut = int(np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])))[-1]) or t.num_rows - 1
             head = t.slice(0, cut)
-            yield sort_out(head, before, int(a[cut]))
+            yield sort_out(head, before, (int(a[cut]), int(c[cut])))
             several = before is not None and before[0] == a[cut - 1] and (opened == before[0] or before[1] != c[cut - 1])
             same = np.flatnonzero(a[:cut] == a[cut - 1])
             several |= bool((c[same] != c[cut - 1]).any())

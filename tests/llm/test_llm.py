@@ -160,6 +160,24 @@ def test_repeats_equal_brute_force(spark, limit):
     assert got == Counter((i, *x) for (i, _), x in zip(rows, repeats.brute_force([t for _, t in rows])))
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3])
+def test_repeats_do_not_depend_on_batches_and_partitions(spark, batch):
+    rnd = random.Random(8)
+    parts = ["".join(rnd.choice("abc ") for _ in range(230)) for _ in range(4)]
+    tables = [["x" * 100 + "y" * 100] * 2, [parts[0][:200]] * 2, [parts[0]] * 3 + [parts[1]] * 2 + [parts[2] + parts[3], "q" + parts[3]]]
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for texts in tables:
+            got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.h) for r in repeats.remove(frame(spark, [*enumerate(texts)])).withColumn("h", F.sha2("kept", 256)).collect())
+            assert got == Counter((i, *x) for i, x in enumerate(repeats.brute_force(texts)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_personal_data(spark, odd):
     rows = frame(spark, [(1, "mail a.b@c.de, 1.2.3.4 and 1.2.3.256"), (2, "card 4111 1111-1111 1111 or 4111111111111112"), (3, "+1 (234) 555-6789 +12"), (4, "é x@y 9")])
     got = by_id(pii.query(rows))

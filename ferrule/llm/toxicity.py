@@ -1,16 +1,18 @@
 """Toxicity by nearest labelled examples.
 
 Terms are the words of a text (runs of letters, lower-cased) and the words'
-five-letter beginnings. From a bounded sample of labelled rows, terms whose
-log-likelihood ratio with the label is significant beyond the size of the
-vocabulary make up the space; weights are ``(1 + ln tf) * idf``, vectors have
-length one, and similarity is the cosine.
+five-letter beginnings. From a bounded sample of labelled rows, the terms with
+the highest log-likelihood ratios with the label make up the space; weights are
+``(1 + ln tf) * idf``, vectors have length one, and similarity is the cosine.
+How low the ratio may be is chosen by cross-validation on these rows: with few
+of them rare terms must count, with many they only add noise.
 
 The examples lie in an inverted index: equal vectors form one class, classes
 are numbered and cut into blocks of ``BLOCK``, and each term keeps the largest
 weight it has in each block. A query adds up these maxima to bounds, opens
 blocks from the highest bound down and stops when no bound can reach the k-th
-best similarity, so its neighbours are exact. Examples at exactly the k-th
+best similarity; after ``OPENED`` blocks it adds up all that is left at once. So
+its neighbours are exact. Examples at exactly the k-th
 similarity all vote. A vote weighs the square of its cosine, and ``PRIOR``
 votes at the rate of the examples without any of the terms keep thin evidence
 from extreme scores. A text without any of the terms has that rate as its
@@ -45,10 +47,16 @@ from ferrule.llm.common import stored
 MAX_TRAIN = 20_000
 #: Terms of the space, at most: those with the highest ratio.
 MAX_TERMS = 8192
-#: A term's log-likelihood ratio must exceed this plus twice the logarithm of the vocabulary's size.
-MIN_RATIO = 8.0
+#: What a term's log-likelihood ratio must exceed: one of these, or STRICT plus twice the logarithm of the vocabulary's size.
+STRICT = 8.0
+BOUNDS = (15.0, 10.83, 6.63)
+FOLDS = 3
+#: Rows that a fold is validated on, at most.
+MAX_VALIDATED = 1000
 BEGINNING = 5
 NEIGHBOURS, PRIOR, BLOCK = 25, 1.0, 128
+#: Blocks that a query opens one by one.
+OPENED = 4
 THRESHOLD = 0.3
 KEPT_VECTORS = 100_000
 
@@ -110,9 +118,22 @@ class Index:
         for w, _, _, blocks, most, _ in ((q[0], q[1], q[2], q[3], q[4], q[5]) for q in query):
             bound[blocks] += w * most
         best_c, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
+
+        def admit(hit: np.ndarray, score: np.ndarray) -> None:
+            nonlocal best_c, best_s, least
+            best_c, best_s = np.append(best_c, hit), np.append(best_s, score)
+            order = np.lexsort((best_c, -best_s))
+            best_c, best_s = best_c[order], best_s[order]
+            enough = int(np.searchsorted(np.cumsum(self.size[best_c]), k))
+            if enough < len(best_c):
+                least = best_s[enough]
+                keep = best_s >= least
+                best_c, best_s = best_c[keep], best_s[keep]
+
+        order = np.argsort(-bound, kind="stable")
+        for block in order[:OPENED].tolist():
             if bound[block] <= 0 or bound[block] < least - 1e-9:
-                break
+                return best_c, best_s
             score = np.zeros(BLOCK)
             for w, at, weight, blocks, _, first in query:
                 j = int(np.searchsorted(blocks, block))
@@ -120,14 +141,16 @@ class Index:
                     part = slice(first[j], first[j + 1])
                     score[at[part] - block * BLOCK] += w * weight[part]
             hit = np.flatnonzero(score > 0)
-            best_c, best_s = np.append(best_c, hit + block * BLOCK), np.append(best_s, np.round(score[hit], 12))
-            order = np.lexsort((best_c, -best_s))
-            best_c, best_s = best_c[order], best_s[order]
-            enough = int(np.searchsorted(np.cumsum(self.size[best_c]), k))
-            if enough < len(best_c):
-                least = best_s[enough]
-                keep = best_s >= least
-                best_c, best_s = best_c[keep], best_s[keep]
+            admit(hit + block * BLOCK, np.round(score[hit], 12))
+        rest = order[OPENED:]
+        if len(rest) and bound[rest[0]] > 0 and bound[rest[0]] >= least - 1e-9:
+            score = np.zeros(self.n_blocks * BLOCK)
+            for w, at, weight, *_ in query:
+                score[at] += w * weight
+            score.reshape(-1, BLOCK)[order[:OPENED]] = 0
+            score = np.round(score, 12)
+            hit = np.flatnonzero((score > 0) & (score >= least))
+            admit(hit, score[hit])
         return best_c, best_s
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
@@ -159,33 +182,82 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
     """The model; learns from rows that are not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text")  # at most max_train marks
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).withColumn("fold", F.pmod(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))), F.lit(FOLDS)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text", "fold")  # at most max_train marks
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                found = list(terms(text.as_py()))
-                yield pa.record_batch([pa.array(["", *found]), pa.array([label] * (len(found) + 1), pa.int32())], ["term", "toxic"])
+            for label, text, fold in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                found = ["", *terms(text.as_py())]
+                yield pa.record_batch([pa.array(found), pa.array([label] * len(found), pa.int32()), pa.array([fold] * len(found), pa.int32())], ["term", "toxic", "fold"])
 
-    counts = rows.mapInArrow(spread, "term string, toxic int").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
-    counts = stored(counts)
+    def tally(name: str, rows: Column) -> list[Column]:
+        return [F.sum(F.when(rows, F.col("toxic")).otherwise(0)).cast("double").alias(f"a{name}"), F.count_if(rows).cast("double").alias(f"n{name}")]
+
+    # under a fold's number, the counts of all other folds
+    sums = [*tally("", F.lit(True)), *(c for k in range(FOLDS) for c in tally(str(k), F.col("fold") != k))]
+    counts = stored(rows.mapInArrow(spread, "term string, toxic int, fold int").groupBy("term").agg(*sums))
     whole = counts.where("term = ''").collect()
     if not whole:
         return Index({}, [])
-    n1, n0 = whole[0]["a"], whole[0]["n"] - whole[0]["a"]
-    need = MIN_RATIO + 2 * math.log(max(2, counts.count()))
-    rated = counts.where("term <> ''").withColumn("ratio", _ratio(F.col("a"), F.col("n") - F.col("a"), F.lit(n1), F.lit(n0)))
-    chosen = rated.where(F.col("ratio") > need).orderBy(F.desc("ratio"), "term").limit(max_terms).select("term", "n").collect()
-    idf = {r["term"]: math.log(1 + (n1 + n0) / r["n"]) for r in chosen}
+    strict = STRICT + 2 * math.log(max(2, counts.count()))
+    bounds = sorted({strict, *BOUNDS}, reverse=True)
+
+    def rated(name: str) -> list[tuple[str, float, float]]:
+        """(term, ratio, idf) of what may be in the space, best first."""
+        n1, n = whole[0][f"a{name}"], whole[0][f"n{name}"]
+        if not 0 < n1 < n:
+            return []
+        a, b = F.col(f"a{name}"), F.col(f"n{name}") - F.col(f"a{name}")
+        found = counts.where((F.col("term") != "") & (F.col(f"n{name}") > 0)).select("term", _ratio(a, b, F.lit(n1), F.lit(n - n1)).alias("ratio"), F.col(f"n{name}").alias("n"))
+        best = found.where(F.col("ratio") > bounds[-1]).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
+        return [(r["term"], r["ratio"], math.log(1 + n / r["n"])) for r in best]
+
+    spaces = [rated(""), *(rated(str(k)) for k in range(FOLDS))]
+    names = sorted({t for space in spaces for t, _, _ in space})
+    number = {t: i for i, t in enumerate(names)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
         for batch in batches:
-            found = [[(t, n) for t, n in terms(x.as_py()).items() if t in idf] for x in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.map_(pa.string(), pa.int64()))], ["doc_id", "toxic", "counts"])
-
-    examples = rows.mapInArrow(vectors, "doc_id long, toxic int, counts map<string,bigint>").collect()  # at most max_train
-    return Index(idf, [(r["doc_id"], r["toxic"], r["counts"]) for r in examples])
+            found = [[(number[t], n) for t, n in terms(x.as_py()).items() if t in number] for x in batch.column(2)]
+            ids, ns = pa.array([[i for i, _ in f] for f in found], ints), pa.array([[n for _, n in f] for f in found], ints)
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), ids, ns], ["doc_id", "toxic", "fold", "ids", "ns"])
+
+    kinds = "doc_id long, toxic int, fold int, ids array<int>, ns array<int>"
+    examples = rows.mapInArrow(vectors, kinds).toArrow().sort_by("doc_id")  # at most max_train
+
+    def idf(space: int, bound: float) -> dict[str, float]:
+        return {t: x for t, ratio, x in spaces[space] if ratio > bound}
+
+    shared = docs.sparkSession.sparkContext.broadcast((examples, names, spaces))
+
+    def validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known, ratios = shared.value
+        for task in (x for batch in batches for x in batch.column(0).to_pylist()):
+            at, fold = task // FOLDS, task % FOLDS
+            weights = {t: x for t, ratio, x in ratios[fold + 1] if ratio > bounds[at]}
+            own, others = [], []
+            for doc_id, label, k, counted in _counted(table, known, weights):
+                (own if k == fold else others).append((doc_id, label, counted))
+            index = Index(weights, others)
+            own = own[:: max(1, -(-len(own) // MAX_VALIDATED))]
+            said = [(label, index.score(counted)[0] >= THRESHOLD) for _, label, counted in own]
+            hit, wrong = sum(y and p for y, p in said), sum(y != p for y, p in said)
+            yield pa.record_batch([pa.array([at]), pa.array([hit], pa.int64()), pa.array([wrong], pa.int64())], ["at", "hit", "wrong"])
+
+    tasks = len(bounds) * FOLDS
+    tried = docs.sparkSession.range(0, tasks, 1, tasks).mapInArrow(validate, "at long, hit long, wrong long").groupBy("at").agg(F.sum("hit").alias("hit"), F.sum("wrong").alias("wrong")).collect()
+    best = max(tried, key=lambda r: (2 * r["hit"] / max(1, 2 * r["hit"] + r["wrong"]), -r["at"]))  # of equals, the highest bound
+    chosen = idf(0, bounds[best["at"]])
+    return Index(chosen, [(doc_id, label, counted) for doc_id, label, _, counted in _counted(examples, names, chosen)])
+
+
+def _counted(table: pa.Table, names: list[str], idf: dict[str, float]) -> Iterator[tuple[int, int, int, dict[str, int]]]:
+    """(doc_id, label, fold, counts of the terms in ``idf``) of all examples."""
+    for batch in table.to_batches(max_chunksize=1000):
+        for doc_id, label, fold, ids, ns in zip(*(c.to_pylist() for c in batch.columns)):
+            yield doc_id, label, fold, {names[i]: n for i, n in zip(ids, ns) if names[i] in idf}
 
 
 def score(docs: DataFrame, model: Index) -> DataFrame:

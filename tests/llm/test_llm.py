@@ -218,6 +218,16 @@ def test_toxicity_index_is_exact_and_learns(spark):
     assert toxicity.query(docs.where("false"), labels).count() == 0 and toxicity.query(docs, labels.where("false")).count() == 402
 
 
+def test_toxicity_learns_rare_terms_from_few_rows(spark):
+    rnd = random.Random(9)
+    # 20 slurs, each in three labelled texts or so: none is significant beyond the size of the vocabulary
+    texts = [(k, " ".join([f"w{chr(97 + k % 26)}{'x' * rnd.randint(1, 40)}" for _ in range(6)] + ([f"{'abcdefghijklmnopqrst'[j]}slur" for j in rnd.sample(range(20), 2)] if k % 10 == 0 else []))) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(400)], "doc_id long, toxic int")
+    got = [r for r in toxicity.query(frame(spark, texts), labels).collect() if r.held_out]
+    bad = [r.predicted for r in got if r.doc_id % 10 == 0]
+    assert len(bad) >= 5 and sum(bad) >= 0.8 * len(bad) and sum(r.predicted for r in got if r.doc_id % 10) <= 3
+
+
 def test_host_rules(spark, odd):
     got = by_id(hosts.query(odd))
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[6].n_repeat_words == 15000 and got[6].base_failed

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,18 +99,40 @@ def diverse(spark, d):
     return choose.diversify(found.join(words, "item_id").select("query_id", "item_id", "rank", "tokens"))
 
 
+WINDOW = 4
+
+
+def _windows(words, width: int):
+    """Hashes of all runs of ``width`` words."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
+    return F.when(F.size(words) >= width, runs)
+
+
 def _gold(spark, d):
-    """Documents that contain a passage whole."""
-    docs, items = _items(spark, d), _queries(spark, d)
-    whole = items.withColumnRenamed("text", "passage")
-    first = F.substring("passage", 1, 40)
-    # passages meet the documents that rank for them, then the text decides
-    near = retrieve.ranked(_bm25(spark, d), 200).select("query_id", "item_id")
-    return near.join(whole, "query_id").join(docs, "item_id").where(F.col("text").contains(first) & F.col("text").contains(F.col("passage"))).select("query_id", "item_id")
+    """Documents that contain a passage whole, whatever their rank.
+
+    All words of a passage but its first and last are whole words of a text that contains it. So the
+    first WINDOW of these (or one, of fewer) meet the same run in the documents, then the text decides.
+    Passages without such words meet every document.
+    """
+    docs, items = _items(spark, d), _queries(spark, d).withColumnRenamed("text", "passage")
+    words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+    whole = items.select("query_id", F.slice(words("passage"), 2, F.greatest(F.size(words("passage")) - 2, F.lit(0))).alias("w")).where("w is not null")
+    met = []
+    for width, rows in ((WINDOW, whole.where(F.size("w") >= WINDOW)), (1, whole.where((F.size("w") > 0) & (F.size("w") < WINDOW)))):
+        if not rows.isEmpty():
+            keys = rows.select("query_id", F.xxhash64(F.slice("w", 1, width)).alias("key"))
+            runs = docs.select("item_id", words("text").alias("w")).select("item_id", F.explode(_windows(F.col("w"), width)).alias("key"))
+            met.append(runs.join(keys, "key").select("query_id", "item_id"))
+    bare = whole.where(F.size("w") == 0).select("query_id")
+    if not met or not bare.isEmpty():
+        met.append(bare.crossJoin(docs.select("item_id")))
+    near = reduce(DataFrame.unionByName, met).distinct()
+    return near.join(items, "query_id").join(docs, "item_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "item_id").distinct()
 
 
 def metrics(spark, d):
-    ranking = retrieve.ranked(_bm25(spark, d), 200)
+    ranking = retrieve.ranked(_bm25(spark, d))
     picks = ranking.where("score >= 0.5")
     return evaluate.scores(evaluate.per_query(_queries(spark, d), _gold(spark, d), ranking, picks))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
-from ferrule.jobs import registry
+from ferrule.jobs import ranking, registry
 from ferrule.jobs.prompts import skip_reason
 from ferrule.operators import choose, evaluate, retrieve
 from ferrule.sources import tables
@@ -105,3 +105,16 @@ def test_rerank_gate(spark):
     assert {r.query_id: r.gate for r in got} == {1: "moved", 2: "clear", 3: "unsure", 4: "weak", 5: "clear"}
     assert {r.item_id: r.place for r in got if r.query_id == 1} == {3: 1, 1: 2, 2: 3}
     assert all(r.place == r["rank"] for r in got if r.query_id != 1)
+
+
+def test_gold_is_every_document_that_contains_a_passage(spark, tmp_path):
+    passage = "one two three four five six"
+    texts = [f"{passage} {k}" for k in range(250)] + ["filler words " * 3000 + passage, "bone two three four five sixes", "one two three four five seven six", "xtiny y", "a few words", None]
+    items = [passage, "one two three", "tiny", "ny", "no such words in here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for d, glob in ((str(tmp_path), "/*.parquet"), ("/root/testdata/sf0.001", "")):
+        sql = f"SELECT b.item_id, t.doc_id FROM '{d}/benchmark.parquet{glob}' b, '{d}/documents.parquet{glob}' t WHERE contains(t.text, b.text)"
+        assert {tuple(r) for r in ranking._gold(spark, d).select("query_id", "item_id").collect()} == set(duckdb.sql(sql).fetchall())
+    got = ranking.metrics(spark, str(tmp_path)).collect()[0]
+    assert (got.n_positive, got.n_negative) == (4, 2)

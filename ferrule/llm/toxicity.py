@@ -1,31 +1,36 @@
-"""Toxicity by nearest labelled examples.
-
-Terms are the words of a text (runs of letters, lower-cased) and the words'
-five-letter beginnings. From a bounded sample of labelled rows, the terms with
-the highest log-likelihood ratios with the label make up the space; weights are
-``(1 + ln tf) * idf``, vectors have length one, and similarity is the cosine.
-How low the ratio may be is chosen by cross-validation on these rows: with few
-of them rare terms must count, with many they only add noise.
-
-The examples lie in an inverted index: equal vectors form one class, classes
-are numbered and cut into blocks of ``BLOCK``, and each term keeps the largest
-weight it has in each block. A query adds up these maxima to bounds, opens
-blocks from the highest bound down and stops when no bound can reach the k-th
-best similarity; after ``OPENED`` blocks it adds up all that is left at once. So
-its neighbours are exact. Examples at exactly the k-th
-similarity all vote. A vote weighs the square of its cosine, and ``PRIOR``
-votes at the rate of the examples without any of the terms keep thin evidence
-from extreme scores. A text without any of the terms has that rate as its
-score.
-
-The model (vocabulary and index) is bounded by ``MAX_TRAIN`` and ``MAX_TERMS``
-whatever the size of the tables, and broadcast; scoring is a pass over the
-documents without a shuffle.
-
-Edge cases: null and empty texts score as texts without terms; that rate is
-smoothed by one vote at the rate of all examples; without any labelled rows
-every score is 0; rows without a doc_id are scored and not held out; repeated label
-rows of a document count once, toxic if any says so; other columns are ignored.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over whole texts.
+
+Terms are all words of a text (runs of letters, lower-cased) and the words'
+five-letter beginnings; none is dropped and their number has no cap. A term
+weighs ``(1 + ln tf) * ln((1 + n) / (1 + df)) * relevance``, where relevance is
+``FLOOR + (ratio / (ratio + SOFT)) ** 2`` with the term's log-likelihood ratio
+with the label among the examples: terms that say nothing about the label fade
+but stay. Vectors have length one, similarity is the cosine. The only bound is
+``MAX_TRAIN``, the number of labelled rows that serve as examples. Terms that
+no example has weigh nothing.
+
+The examples lie in an inverted index: equal vectors form one class; classes
+are numbered by the number of their terms, so that neighbours in a block of
+``BLOCK`` have weights alike, and each term keeps its largest weight in each
+block. A query adds up the postings of its heavy terms. The k-th best of these
+sums is less than or equal to the k-th best similarity, and the block maxima
+of the remaining terms bound what each block can still gain; classes that may
+reach the k-th best are added up from their own vectors. So the neighbours are
+exact. Examples at exactly the k-th similarity all vote.
+
+A vote weighs the square of its cosine; ``PRIOR`` votes at the common rate
+keep thin evidence from extreme shares. Shares become probabilities by an
+isotonic regression on examples scored against the examples of the other
+folds, with the term weights of those folds.
+
+The model is bounded by its examples whatever the size of the tables, and
+broadcast; scoring is a pass over the documents without a shuffle.
+
+Edge cases: null and empty texts and texts without known terms have the share
+of a prior without votes; without any labelled rows every score is 0; rows
+without a doc_id are scored and not held out; repeated label rows of a document
+count once, toxic if any says so; a label without a document is not used;
+columns named score, predicted or evidence are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -41,24 +46,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import stored
-
-#: Labelled rows that the model is fitted on, at most: those first in the order of a hash.
-MAX_TRAIN = 20_000
-#: Terms of the space, at most: those with the highest ratio.
-MAX_TERMS = 8192
-#: What a term's log-likelihood ratio must exceed: one of these, or STRICT plus twice the logarithm of the vocabulary's size.
-STRICT = 8.0
-BOUNDS = (15.0, 10.83, 6.63)
+#: Labelled rows that serve as examples, at most: those first in the order of a hash.
+MAX_TRAIN = 4096
 FOLDS = 3
-#: Rows that a fold is validated on, at most.
-MAX_VALIDATED = 1000
+#: Relevance of a term: FLOOR at least, half of the most at a ratio of about 2.4 times SOFT.
+SOFT, FLOOR = 25.0, 0.01
 BEGINNING = 5
-NEIGHBOURS, PRIOR, BLOCK = 25, 1.0, 128
-#: Blocks that a query opens one by one.
-OPENED = 4
+NEIGHBOURS, PRIOR, BLOCK = 25, 1.0, 64
+#: Share of the bound of all terms that the light ones may have together.
+LIGHT = 0.15
 THRESHOLD = 0.3
-KEPT_VECTORS = 100_000
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -75,201 +72,236 @@ def terms(text: str | None) -> Counter:
     return found
 
 
-class Index:
-    """Inverted index over classes of equal example vectors, with the largest weight per block."""
+class Examples:
+    """Counts of the terms of labelled rows, by row: ``ids`` and ``counts`` from ``starts[k]`` to ``starts[k + 1]``."""
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]) -> None:
-        """``examples``: doc_id, label, counts of the space's terms."""
-        self.idf = idf
-        classes: dict[tuple, list] = {}
-        for doc_id, label, counts in sorted(examples, key=lambda e: (e[0] is None, e[0] or 0)):
-            known = classes.setdefault(tuple(sorted(counts.items())), [0, 0, []])
-            known[0] += 1
-            known[1] += label
-            if len(known[2]) < 3 and doc_id is not None:
-                known[2].append(doc_id)
-        none = classes.pop((), [0, 0, []])
-        common = sum(e[1] for e in examples) / len(examples) if examples else 0.0
-        self.rate = (none[1] + common) / (none[0] + 1)
-        self.size = np.array([c[0] for c in classes.values()], np.float64)
-        self.toxic = np.array([c[1] for c in classes.values()], np.float64)
-        self.evidence = [c[2] for c in classes.values()]
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for number, key in enumerate(classes):
-            for term, weight in self.vector(dict(key)).items():
-                lists.setdefault(term, []).append((number, weight))
-        self.postings = {}
-        for term, found in lists.items():
-            at, weight = np.array([x[0] for x in found]), np.array([x[1] for x in found])
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[term] = (at, weight, blocks, np.maximum.reduceat(weight, first), np.append(first, len(at)))
-        self.n_blocks = len(self.size) // BLOCK + 1
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()}
-
-    def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and cosines of the k nearest examples, and of all that tie with the last."""
-        query = [(w, *self.postings[t]) for t, w in self.vector(counts).items() if t in self.postings]
-        bound = np.zeros(self.n_blocks)
-        for w, _, _, blocks, most, _ in ((q[0], q[1], q[2], q[3], q[4], q[5]) for q in query):
-            bound[blocks] += w * most
-        best_c, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-
-        def admit(hit: np.ndarray, score: np.ndarray) -> None:
-            nonlocal best_c, best_s, least
-            best_c, best_s = np.append(best_c, hit), np.append(best_s, score)
-            order = np.lexsort((best_c, -best_s))
-            best_c, best_s = best_c[order], best_s[order]
-            enough = int(np.searchsorted(np.cumsum(self.size[best_c]), k))
-            if enough < len(best_c):
-                least = best_s[enough]
-                keep = best_s >= least
-                best_c, best_s = best_c[keep], best_s[keep]
+    def __init__(self, doc_ids: list, labels: np.ndarray, folds: np.ndarray, names: list[str], starts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.doc_ids, self.labels, self.folds, self.names = doc_ids, labels, folds, names
+        self.starts, self.ids, self.counts = starts, ids, counts
 
-        order = np.argsort(-bound, kind="stable")
-        for block in order[:OPENED].tolist():
-            if bound[block] <= 0 or bound[block] < least - 1e-9:
-                return best_c, best_s
-            score = np.zeros(BLOCK)
-            for w, at, weight, blocks, _, first in query:
-                j = int(np.searchsorted(blocks, block))
-                if j < len(blocks) and blocks[j] == block:
-                    part = slice(first[j], first[j + 1])
-                    score[at[part] - block * BLOCK] += w * weight[part]
-            hit = np.flatnonzero(score > 0)
-            admit(hit + block * BLOCK, np.round(score[hit], 12))
-        rest = order[OPENED:]
-        if len(rest) and bound[rest[0]] > 0 and bound[rest[0]] >= least - 1e-9:
-            score = np.zeros(self.n_blocks * BLOCK)
-            for w, at, weight, *_ in query:
-                score[at] += w * weight
-            score.reshape(-1, BLOCK)[order[:OPENED]] = 0
-            score = np.round(score, 12)
-            hit = np.flatnonzero((score > 0) & (score >= least))
-            admit(hit, score[hit])
-        return best_c, best_s
-
-    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
-        if not counts:
-            return self.rate, []
-        key = tuple(sorted(counts.items()))
-        if (known := self.known.get(key)) is None:
-            near, cosine = self.nearest(counts)
-            vote = cosine * cosine
-            p = (float(vote @ self.toxic[near]) + PRIOR * self.rate) / (float(vote @ self.size[near]) + PRIOR)
-            known = p, [d for c in near[:3].tolist() for d in self.evidence[c]][:3]
-            if len(self.known) >= KEPT_VECTORS:
-                self.known = {}
-            self.known[key] = known
-        return known
-
-
-def _ratio(a: Column, b: Column, n1: Column, n0: Column) -> Column:
-    """Log-likelihood ratio of a term found in a of n1 toxic and b of n0 other examples."""
-
-    def part(k: Column, n: Column, p: Column) -> Column:
-        return F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0) + F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - p)))).otherwise(0.0)
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[k], self.starts[k + 1])
+        return self.ids[part], self.counts[part]
 
+
+def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Relevance of terms found in a of n1 toxic and b of n0 other examples."""
+    if not n1 or not n0:
+        return np.full(len(a), FLOOR)
     p = (a + b) / (n1 + n0)
-    return F.when(p < 1, 2 * (part(a, n1, p) + part(b, n0, p))).otherwise(0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
 
+        def part(k: np.ndarray, n: int) -> np.ndarray:
+            return np.where(k > 0, k * np.log(k / (n * p)), 0.0) + np.where(k < n, (n - k) * np.log((n - k) / (n * (1 - p))), 0.0)
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Index:
-    """The model; learns from rows that are not held out."""
+        ratio = np.where((p > 0) & (p < 1), 2 * (part(a, n1) + part(b, n0)), 0.0)
+    ratio = np.maximum(np.nan_to_num(ratio), 0.0)
+    return FLOOR + (ratio / (ratio + SOFT)) ** 2
+
+
+class Index:
+    """Inverted index over classes of equal example vectors, with the largest weight per block."""
+
+    def __init__(self, examples: Examples, rows: np.ndarray) -> None:
+        """``rows``: numbers of the examples that are to be in the index."""
+        e, rows = examples, np.asarray(rows, np.int64)
+        labels = e.labels[rows]
+        n, n1 = len(rows), int(labels.sum())
+        self.rate = n1 / n if n else 0.0
+        lengths = e.starts[rows + 1] - e.starts[rows]
+        at = np.repeat(e.starts[rows], lengths) + (np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        ids, counts, owner = e.ids[at], e.counts[at], np.repeat(np.arange(n), lengths)
+        df = np.bincount(ids, minlength=len(e.names)).astype(np.float64)
+        toxic = np.bincount(ids, weights=labels[owner].astype(np.float64), minlength=len(e.names))
+        self.weight = np.where(df > 0, np.log((1 + n) / (1 + df)) * relevance(toxic, df - toxic, n1, n - n1), 0.0)
+        classes: dict[bytes, list] = {}
+        for k in range(n):
+            i, c = e.row(int(rows[k]))
+            known = classes.setdefault(i.tobytes() + b"|" + c.tobytes(), [len(i), k, 0, 0, []])
+            known[2] += 1
+            known[3] += int(labels[k])
+            if len(known[4]) < 3 and e.doc_ids[rows[k]] is not None:
+                known[4].append(e.doc_ids[rows[k]])
+        found = sorted((c for c in classes.values() if c[0]), key=lambda c: c[:2])
+        self.size = np.array([c[2] for c in found], np.float64)
+        self.toxic = np.array([c[3] for c in found], np.float64)
+        self.evidence = [c[4] for c in found]
+        number = np.full(n, -1)
+        number[[c[1] for c in found]] = np.arange(len(found))
+        owner = number[owner]
+        keep = owner >= 0
+        ids, counts, owner = ids[keep], counts[keep], owner[keep]
+        w = self.weight[ids] * (1 + np.log(counts))
+        norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=len(found)))
+        w = w / np.where(norm > 0, norm, 1.0)[owner]
+        order = np.argsort(owner, kind="stable")
+        self.row_starts = np.append(0, np.cumsum(np.bincount(owner, minlength=len(found))))
+        self.row_ids, self.row_weights = ids[order], w[order]
+        order = np.lexsort((owner, ids))
+        self.starts = np.append(0, np.cumsum(np.bincount(ids, minlength=len(e.names))))
+        self.at, self.postings = owner[order].astype(np.int32), w[order]
+        self.n_blocks = len(found) // BLOCK + 1
+        self.most = np.zeros((len(e.names), self.n_blocks), np.float32)
+        np.maximum.at(self.most, (ids, owner // BLOCK), np.nextafter(w.astype(np.float32), np.float32(2)))
+        self.top = self.most.max(axis=1)
+        self.block = np.arange(len(found)) // BLOCK
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = self.weight[ids] * (1 + np.log(counts))
+        ids, raw = ids[raw > 0], raw[raw > 0]
+        norm = math.sqrt(float(raw @ raw))
+        return ids, raw / norm if norm else raw
+
+    def _sums(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of all classes, the part of the similarity that these terms make up."""
+        n = self.starts[ids + 1] - self.starts[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.at[at], weights=np.repeat(w, n) * self.postings[at], minlength=len(self.size))
+
+    def nearest(self, ids: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and cosines of the k nearest examples, and of all that tie with the last."""
+        ids, w = self.vector(ids, counts)
+        if not len(ids) or not len(self.size):
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = w * self.top[ids]
+        order = np.argsort(-bound, kind="stable")
+        ids, w, bound = ids[order], w[order], bound[order]
+        left = bound.sum() - np.cumsum(bound)
+        heavy = int(np.searchsorted(-left, -LIGHT * bound.sum())) + 1
+        sums = self._sums(ids[:heavy], w[:heavy])
+        if heavy < len(ids):
+            best = np.argpartition(-sums, min(k, len(sums)) - 1)[:k]  # every class has one example or more
+            least = sums[best].min() if len(best) >= k else 0.0
+            gain = w[heavy:] @ self.most[ids[heavy:]]
+            hit = np.flatnonzero(sums + gain[self.block] >= least - 1e-9)
+            cost = int((self.row_starts[hit + 1] - self.row_starts[hit]).sum())
+            if cost < int((self.starts[ids[heavy:] + 1] - self.starts[ids[heavy:]]).sum()):
+                dense = np.zeros(len(self.weight))
+                dense[ids] = w
+                n = self.row_starts[hit + 1] - self.row_starts[hit]
+                at = np.repeat(self.row_starts[hit] - (np.cumsum(n) - n), n) + np.arange(cost)
+                score = np.add.reduceat(dense[self.row_ids[at]] * self.row_weights[at], np.cumsum(n) - n) if len(hit) else np.zeros(0)
+            else:
+                score = (sums + self._sums(ids[heavy:], w[heavy:]))[hit]
+        else:
+            hit, score = np.arange(len(sums)), sums
+        score = np.round(score, 9)  # sums in another order are the same
+        order = np.lexsort((hit, -score))[: int((score > 0).sum())]
+        hit, score = hit[order], score[order]
+        enough = int(np.searchsorted(np.cumsum(self.size[hit]), k))
+        keep = score >= score[enough] if enough < len(hit) else slice(None)
+        return hit[keep], score[keep]
+
+    def share(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+        """Share of toxic votes, and doc_ids of the nearest examples."""
+        near, cosine = self.nearest(ids, counts)
+        vote = cosine * cosine
+        p = (float(vote @ self.toxic[near]) + PRIOR * self.rate) / (float(vote @ self.size[near]) + PRIOR)
+        return p, [d for c in near[:3].tolist() for d in self.evidence[c]][:3]
+
+
+def isotonic(shares: np.ndarray, labels: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps (share, probability) fitted to labels; each step holds one vote at the common rate besides."""
+    order = np.argsort(shares, kind="stable")
+    pools: list[list[float]] = []  # toxic, rows, sum of shares
+    for x, y in zip(shares[order].tolist(), labels[order].tolist()):
+        pools.append([y, 1.0, x])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            top = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], top)]
+    x = np.array([s / n for _, n, s in pools])
+    p = np.array([(t + rate) / (n + 1) for t, n, _ in pools])
+    return x, np.maximum.accumulate(p)
+
+
+class Model:
+    """Index of all examples, and what its shares mean."""
+
+    def __init__(self, examples: Examples | None, shares: np.ndarray, labels: np.ndarray) -> None:
+        self.index = None
+        if examples is not None and len(examples.labels):
+            self.index = Index(examples, np.arange(len(examples.labels)))
+            self.number = {t: i for i, t in enumerate(examples.names)}
+            self.steps = isotonic(shares, labels, self.index.rate) if len(shares) and 0 < labels.sum() < len(labels) else None
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        get, found = self.number.get, {}
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if (i := get(word)) is not None:
+                found[i] = n
+            if len(word) >= BEGINNING and (i := get(word[:BEGINNING] + "*")) is not None:
+                found[i] = found.get(i, 0) + n
+        return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
+
+    def score(self, text: str | None) -> tuple[float, list[int]]:
+        if self.index is None:
+            return 0.0, []
+        share, evidence = self.index.share(*self.counted(text))
+        return (float(np.interp(share, *self.steps)) if self.steps is not None else share), evidence
+
+
+def examples_of(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Examples | None:
+    """The labelled rows that are not held out, at most ``max_train``, with the counts of all their terms."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).withColumn("fold", F.pmod(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))), F.lit(FOLDS)).cast("int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text", "fold")  # at most max_train marks
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    marks = marks.withColumn("fold", F.pmod(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))), F.lit(FOLDS)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "fold", "text")  # at most max_train marks
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for label, text, fold in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                found = ["", *terms(text.as_py())]
-                yield pa.record_batch([pa.array(found), pa.array([label] * len(found), pa.int32()), pa.array([fold] * len(found), pa.int32())], ["term", "toxic", "fold"])
-
-    def tally(name: str, rows: Column) -> list[Column]:
-        return [F.sum(F.when(rows, F.col("toxic")).otherwise(0)).cast("double").alias(f"a{name}"), F.count_if(rows).cast("double").alias(f"n{name}")]
-
-    # under a fold's number, the counts of all other folds
-    sums = [*tally("", F.lit(True)), *(c for k in range(FOLDS) for c in tally(str(k), F.col("fold") != k))]
-    counts = stored(rows.mapInArrow(spread, "term string, toxic int, fold int").groupBy("term").agg(*sums))
-    whole = counts.where("term = ''").collect()
-    if not whole:
-        return Index({}, [])
-    strict = STRICT + 2 * math.log(max(2, counts.count()))
-    bounds = sorted({strict, *BOUNDS}, reverse=True)
-
-    def rated(name: str) -> list[tuple[str, float, float]]:
-        """(term, ratio, idf) of what may be in the space, best first."""
-        n1, n = whole[0][f"a{name}"], whole[0][f"n{name}"]
-        if not 0 < n1 < n:
-            return []
-        a, b = F.col(f"a{name}"), F.col(f"n{name}") - F.col(f"a{name}")
-        found = counts.where((F.col("term") != "") & (F.col(f"n{name}") > 0)).select("term", _ratio(a, b, F.lit(n1), F.lit(n - n1)).alias("ratio"), F.col(f"n{name}").alias("n"))
-        best = found.where(F.col("ratio") > bounds[-1]).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
-        return [(r["term"], r["ratio"], math.log(1 + n / r["n"])) for r in best]
-
-    spaces = [rated(""), *(rated(str(k)) for k in range(FOLDS))]
-    names = sorted({t for space in spaces for t, _, _ in space})
-    number = {t: i for i, t in enumerate(names)}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints = pa.list_(pa.int32())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[(number[t], n) for t, n in terms(x.as_py()).items() if t in number] for x in batch.column(2)]
-            ids, ns = pa.array([[i for i, _ in f] for f in found], ints), pa.array([[n for _, n in f] for f in found], ints)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), ids, ns], ["doc_id", "toxic", "fold", "ids", "ns"])
+            found = [terms(x.as_py()) for x in batch.column(3)]
+            names, ns = pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array([[f[t] for t in sorted(f)] for f in found], pa.list_(pa.int32()))
+            yield pa.record_batch([*batch.columns[:3], names, ns], ["doc_id", "toxic", "fold", "terms", "ns"])
+
+    table = rows.mapInArrow(count, "doc_id long, toxic int, fold int, terms array<string>, ns array<int>").toArrow()  # at most max_train documents
+    if not table.num_rows:
+        return None
+    table = table.sort_by("doc_id").combine_chunks()
+    names = table["terms"].combine_chunks()
+    coded = names.flatten().dictionary_encode()
+    starts = np.append(0, np.cumsum(names.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+    counts = table["ns"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    return Examples(table["doc_id"].to_pylist(), table["toxic"].to_numpy(), table["fold"].to_numpy(), coded.dictionary.to_pylist(), starts, coded.indices.to_numpy().astype(np.int64), counts)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """The model; learns from rows that are not held out."""
+    examples = examples_of(docs, labels, max_train)
+    if examples is None:
+        return Model(None, np.zeros(0), np.zeros(0))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(examples)
+    parts = 4
 
-    kinds = "doc_id long, toxic int, fold int, ids array<int>, ns array<int>"
-    examples = rows.mapInArrow(vectors, kinds).toArrow().sort_by("doc_id")  # at most max_train
+    def validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = shared.value
+        for task in (x for batch in batches for x in batch.column(0).to_pylist()):
+            fold, part = task // parts, task % parts
+            own = np.flatnonzero(e.folds == fold)[part::parts]
+            others = np.flatnonzero(e.folds != fold)
+            index = Index(e, others)
+            shares = [index.share(*e.row(int(k)))[0] for k in own] if len(others) else []
+            yield pa.record_batch([pa.array(own[: len(shares)]), pa.array(shares, pa.float64())], ["row", "share"])
 
-    def idf(space: int, bound: float) -> dict[str, float]:
-        return {t: x for t, ratio, x in spaces[space] if ratio > bound}
+    tasks = FOLDS * parts
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(validate, "row long, share double").toArrow().sort_by("row")  # one row an example
+    model = Model(examples, found["share"].to_numpy(), examples.labels[found["row"].to_numpy()].astype(np.float64))
+    shared.unpersist()
+    return model
 
-    shared = docs.sparkSession.sparkContext.broadcast((examples, names, spaces))
 
-    def validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, ratios = shared.value
-        for task in (x for batch in batches for x in batch.column(0).to_pylist()):
-            at, fold = task // FOLDS, task % FOLDS
-            weights = {t: x for t, ratio, x in ratios[fold + 1] if ratio > bounds[at]}
-            own, others = [], []
-            for doc_id, label, k, counted in _counted(table, known, weights):
-                (own if k == fold else others).append((doc_id, label, counted))
-            index = Index(weights, others)
-            own = own[:: max(1, -(-len(own) // MAX_VALIDATED))]
-            said = [(label, index.score(counted)[0] >= THRESHOLD) for _, label, counted in own]
-            hit, wrong = sum(y and p for y, p in said), sum(y != p for y, p in said)
-            yield pa.record_batch([pa.array([at]), pa.array([hit], pa.int64()), pa.array([wrong], pa.int64())], ["at", "hit", "wrong"])
-
-    tasks = len(bounds) * FOLDS
-    tried = docs.sparkSession.range(0, tasks, 1, tasks).mapInArrow(validate, "at long, hit long, wrong long").groupBy("at").agg(F.sum("hit").alias("hit"), F.sum("wrong").alias("wrong")).collect()
-    best = max(tried, key=lambda r: (2 * r["hit"] / max(1, 2 * r["hit"] + r["wrong"]), -r["at"]))  # of equals, the highest bound
-    chosen = idf(0, bounds[best["at"]])
-    return Index(chosen, [(doc_id, label, counted) for doc_id, label, _, counted in _counted(examples, names, chosen)])
-
-
-def _counted(table: pa.Table, names: list[str], idf: dict[str, float]) -> Iterator[tuple[int, int, int, dict[str, int]]]:
-    """(doc_id, label, fold, counts of the terms in ``idf``) of all examples."""
-    for batch in table.to_batches(max_chunksize=1000):
-        for doc_id, label, fold, ids, ns in zip(*(c.to_pylist() for c in batch.columns)):
-            yield doc_id, label, fold, {names[i]: n for i, n in zip(ids, ns) if names[i] in idf}
-
-
-def score(docs: DataFrame, model: Index) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score, predicted and evidence (doc_ids of the nearest examples)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score", "predicted", "evidence")
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        m = shared.value
         for batch in batches:
-            found = [index.score({t: n for t, n in terms(x.as_py()).items() if t in index.idf}) for x in batch.column(at)]
+            found = [m.score(x.as_py()) for x in batch.column(at)]
             p = np.array([f[0] for f in found], np.float64)
             yield pa.record_batch(
                 [*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array([f[1] for f in found], pa.list_(pa.int64()))],
@@ -286,9 +318,9 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        m = shared.value
         for batch in batches:
-            keep = [index.score({t: n for t, n in terms(x.as_py()).items() if t in index.idf})[0] < THRESHOLD for x in batch.column(at)]
+            keep = [m.score(x.as_py())[0] < THRESHOLD for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -196,23 +196,31 @@ def test_personal_data_patterns_find_unseen_strings(spark):
 
 def test_toxicity_index_is_exact_and_learns(spark):
     rnd = random.Random(6)
-    words = [f"w{k}" for k in range(30)]
-    ex = [(k, rnd.randint(0, 1), dict(Counter(rnd.choices(words, k=rnd.randint(0, 6))))) for k in range(900)]
-    index = toxicity.Index({w: 1 + k / 10 for k, w in enumerate(words)}, ex)
-    classes = sorted({tuple(sorted(c.items())) for _, _, c in ex if c}, key=lambda c: next(i for i, _, x in ex if tuple(sorted(x.items())) == c))
-    for _ in range(20):
-        q = dict(Counter(rnd.choices(words, k=4)))
-        v = index.vector(q)
-        cos = np.round([sum(v.get(t, 0) * x for t, x in index.vector(dict(c)).items()) for c in classes], 12)
-        order = np.argsort(-cos, kind="stable")
-        last = int(np.searchsorted(np.cumsum(index.size[order]), toxicity.NEIGHBOURS))
-        want = {int(c) for c in np.flatnonzero((cos >= cos[order[last]] - 1e-11) & (cos > 0))}
-        assert set(index.nearest(q)[0].tolist()) == want
+    names = sorted(f"w{k}" for k in range(30))
+    counts = [Counter(rnd.choices(range(30), k=rnd.randint(0, 6))) for _ in range(900)]
+    starts = np.append(0, np.cumsum([len(c) for c in counts]))
+    ids, ns = (np.array([x for c in counts for x in f(sorted(c.items()))]) for f in (lambda c: [i for i, _ in c], lambda c: [float(n) for _, n in c]))
+    examples = toxicity.Examples(list(range(900)), np.array([rnd.randint(0, 1) for _ in range(900)]), np.zeros(900), names, starts, ids, ns)
+    index = toxicity.Index(examples, np.arange(900))
+    v = np.zeros((900, 30))
+    for k, c in enumerate(counts):
+        i, w = index.vector(np.array(sorted(c), int), np.array([float(c[x]) for x in sorted(c)]))
+        v[k, i] = w
+    for q in [Counter(rnd.choices(range(30), k=rnd.randint(1, 25))) for _ in range(40)]:
+        i = np.array(sorted(q), int)
+        n = np.array([float(q[x]) for x in i])
+        query = np.zeros(30)
+        query[index.vector(i, n)[0]] = index.vector(i, n)[1]
+        cos = np.sort(np.round(v @ query, 8))[::-1]
+        want = cos[(cos >= cos[toxicity.NEIGHBOURS - 1]) & (cos > 0)]
+        near, got = index.nearest(i, n)
+        assert np.allclose(np.repeat(np.round(got, 8), index.size[near].astype(int)), want, atol=2e-8)
     rows = [(k, f"plain words here {k}" if k % 4 else f"you utter fool {k}") for k in range(400)] + [(1000, None), (1001, "")]
     docs = frame(spark, rows)
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(3, None), (None, 1)], "doc_id long, toxic int")
     got = by_id(toxicity.query(docs, labels))
     assert all(got[k].predicted == (k % 4 == 0) for k in range(400)) and got[1000].predicted == 0 and 0 <= got[1001].score <= 1
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).columns.count("score") == 1
     kept = toxicity.clean(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 302
     assert toxicity.query(docs.where("false"), labels).count() == 0 and toxicity.query(docs, labels.where("false")).count() == 402
@@ -228,6 +236,29 @@ def test_toxicity_learns_rare_terms_from_few_rows(spark):
     assert len(bad) >= 5 and sum(bad) >= 0.8 * len(bad) and sum(r.predicted for r in got if r.doc_id % 10) <= 3
 
 
+def test_toxicity_is_calibrated_and_equals_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = [r for r in toxicity.query(docs, labels).collect()]
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    model = toxicity.fit(docs, labels)
+    ix, e = model.index, toxicity.examples_of(docs, labels)
+    assert set(e.doc_ids) == {k for k in marks if not next(r.held_out for r in got if r.doc_id == k)}
+    words = Counter(t for r in docs.collect() if r.doc_id in set(e.doc_ids) for t in toxicity.terms(r.text))
+    assert set(e.names) == set(words)  # no term is left out
+    rows = [ix.vector(*e.row(k)) for k in range(len(e.labels))]
+    for r in docs.limit(60).collect():
+        q = dict(zip(*(x.tolist() for x in ix.vector(*model.counted(r.text)))))
+        cos = np.array([sum(q.get(i, 0) * w for i, w in zip(*(x.tolist() for x in v))) for v in rows])
+        last = np.sort(cos)[-toxicity.NEIGHBOURS]
+        use = (cos >= last - 1e-9) & (cos > 0)
+        p = (float((cos[use] ** 2) @ e.labels[use]) + ix.rate) / (float((cos[use] ** 2).sum()) + 1)
+        want = float(np.interp(p, *model.steps))
+        assert abs(want - next(x.score for x in got if x.doc_id == r.doc_id)) < 1e-6
+    held = [(r.score, marks[r.doc_id]) for r in got if r.held_out and r.doc_id in marks]
+    assert sum((s - y) ** 2 for s, y in held) / len(held) < 0.09
+
+
 def test_host_rules(spark, odd):
     got = by_id(hosts.query(odd))
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept and got[6].n_repeat_words == 15000 and got[6].base_failed

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,16 +26,41 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``. A temporary folder
-    stands in only where that is unset, as in tests on one machine.
+    stands in only on one machine, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="ferrule-"))
     return _own_dir[0]
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, ``stored`` writes below one folder, which goes at the end: results must be written by then."""
+    _scratch.append(f"{shared_dir(spark)}/ferrule/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        discard(spark, _scratch.pop())
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, within the scratch folder if there is one."""
+    return f"{_scratch[-1] if _scratch else shared_dir(spark) + '/ferrule'}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -41,7 +68,7 @@ def stored(df: DataFrame) -> DataFrame:
     recomputation, and gives the planner true sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ferrule/{uuid.uuid4().hex}"
+    path = own_folder(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,8 +10,9 @@ or lost attempt leaves no trace in the result.
 
 Reading takes the end of the file, the (ZIP64) end-of-directory record and the
 central directory to find the members; the index is read by its range, and its
-lines are dealt out in blocks to tasks that read just their range of the WARC
-member. No archive is extracted or read whole. Files are opened through
+lines are dealt out in blocks of records that lie next to each other, a block to
+a range read. The number of tasks follows from the size of the archives in the
+manifest. No archive is extracted or read whole. Files are opened through
 ``pyarrow.fs`` by the URI of the shared folder, so that any store it knows
 will do.
 
@@ -34,6 +35,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -41,12 +43,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import shared_dir, stored
+from ferrule.llm.common import own_folder, stored
 
 MIN_REVISIT = 1000
 MAX_BYTES = 256 << 20
-#: Records that one range read covers.
-BLOCK = 512
+#: One range read covers this many records at most, and about this many bytes.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Bytes of archives that a task reads.
+TASK_BYTES = 64 << 20
 DATA, INDEX = b"archive/data.warc.gz", b"indexes/index.jsonl"
 _TOP = 0xFFFFFFFF
 
@@ -224,39 +228,52 @@ def read(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
                 found = {m.name: m for m in directory(f, size)}
                 index = _range(f, data_start(f, found[INDEX]), found[INDEX].size)
                 base = data_start(f, found[DATA])
-            lines = [json.loads(x) for x in index.splitlines()]
-            parts = [lines[k : k + block] for k in range(0, len(lines), block)]
-            rows = [(path, base + p[0]["offset"], [x["length"] for x in p]) for p in parts]
+            rows: list[tuple[str, int, list[int]]] = []
+            held, end = 0, -1
+            for x in map(json.loads, index.splitlines()):
+                if not rows or x["offset"] != end or len(rows[-1][2]) >= block or held >= BLOCK_BYTES:
+                    rows.append((path, base + x["offset"], []))
+                    held = 0
+                rows[-1][2].append(x["length"])
+                held, end = held + x["length"], x["offset"] + x["length"]
             if rows:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.int64())))], ["path", "at", "lengths"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, at, lengths in (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))):
             store, name = pafs.FileSystem.from_uri(path)
-            out = []
             with store.open_input_file(name) as f:
-                for n in lengths:
-                    out.append(parse(_range(f, at, n)))
-                    at += n
+                raw = memoryview(_range(f, at, sum(lengths)))
+            ends = list(accumulate(lengths))
+            out = [parse(raw[b - n : b]) for n, b in zip(lengths, ends)]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     ranges = manifest.select("path", "size").repartition("path").mapInArrow(locate, "path string, at long, lengths array<bigint>")
-    return ranges.repartition("path", "at").mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    held = manifest.agg(F.sum("size").alias("bytes"), F.sum(F.ceil(F.col("records") / block)).alias("blocks")).first()
+    least = min(held["blocks"] or 1, manifest.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(1, least, -(-(held["bytes"] or 0) // TASK_BYTES))
+    return ranges.repartition(tasks, "path", "at").mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """``pages`` (page_id, url, html) with refers_to: the page whose equal payload stands for this one."""
+    """``pages`` (page_id, url, html) with refers_to: the page whose equal payload stands for this one.
+
+    Payloads are told apart by digest, and only (page_id, digest) of the large ones meet by digest. What
+    they refer to is joined back by page and digest, so that neither equal payloads, small ones nor rows
+    without an id come together with their html.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.col("digest")))
-    first = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
+    large = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first <> last").select("digest", "last")
+    key = F.concat_ws("/", F.col("page_id").cast("string"), F.col("digest"))
+    revisits = large.join(last, "digest").where("page_id <> last").select(key.alias("key"), F.col("last").alias("refers_to")).distinct()
+    return rows.withColumn("key", key).join(revisits, "key", "left").select("page_id", "url", "html", "refers_to")
 
 
 def query(pages: DataFrame) -> DataFrame:
-    folder = f"{shared_dir(pages.sparkSession)}/ferrule/warc-{uuid.uuid4().hex}"
-    return read(write(with_revisits(pages), folder))
+    return read(write(with_revisits(pages), own_folder(pages.sparkSession, "warc")))
 
 
 ORACLE = r"""

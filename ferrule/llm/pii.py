@@ -1,15 +1,18 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Fixed patterns find the seeds (e-mail, IP, card and phone). The words around a
-seed give lexical patterns: the word before it, the two before it, and the
-words on both sides. Other identifier-like strings, those with a digit, are
-candidates. Patterns and strings form a bipartite graph that is scored in
-rounds: a pattern's confidence for a kind is the mean score of the different
-strings that it meets (seeds count 1 for their kind), smoothed by one miss,
-and a candidate's score is that of its best pattern. After ``ROUNDS`` rounds,
-patterns with a confidence of ``MIN_CONFIDENCE`` or more and ``MIN_SEEDS``
-different seeds mark candidates that look like their kind; the marked spans
-join the seeds, which all stay.
+seed give lexical patterns: the word before it, the two before it, the words
+on both sides, the word before it with the string's shape, and the signs and
+the line start next to it with its shape. Other identifier-like strings, those
+with a digit or an @, are candidates; digits in groups with single spaces,
+brackets, dots and dashes are one string. Patterns and strings form a bipartite
+graph that is scored in rounds: a pattern's confidence for a kind is the mean
+score of the different strings that it meets (seeds count 1 for their kind),
+smoothed by one miss. Patterns with a confidence of ``MIN_CONFIDENCE`` or more
+and ``MIN_SEEDS`` different seeds are trusted: candidates that they meet and
+that look like their kind are seeds of the next round, with the confidence as
+their score, and so give new patterns. What is marked after ``ROUNDS`` rounds
+joins the first seeds, which all stay.
 
 Positions come from the gaps between matches: splitting by a pattern and
 extracting it walk the same matches. Repetition in patterns is possessive or
@@ -43,7 +46,8 @@ _PATTERNS = {
     "card": r"(?<![0-9\x01])[0-9][0-9\x01]++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]++"
+_SIGNS = "A-Za-z._%+@()\\x01-"
+_CANDIDATE = rf"(?<![0-9{_SIGNS}])(?=[A-Za-z._%+()\x01-]*+[0-9@])[0-9{_SIGNS}]*[A-Za-z0-9]"
 
 
 def _readied(text: Column, kind: str) -> Column:
@@ -53,6 +57,8 @@ def _readied(text: Column, kind: str) -> Column:
         return F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _MARK)
     if kind == "card":
         return F.regexp_replace(plain, r"(?<=[0-9])[ -](?=[0-9])", _MARK)
+    if kind == "other":
+        return F.regexp_replace(plain, r"(?<=[0-9)]) (?=[0-9(])", _MARK)
     return text
 
 
@@ -94,7 +100,7 @@ def _parts(text: Column, kind: str) -> tuple[Column, Column]:
     pattern = _PATTERNS.get(kind, _CANDIDATE)
     ready = _readied(text, kind)
     gaps, values = F.split(ready, pattern, -1), F.regexp_extract_all(ready, F.lit(pattern), F.lit(0))
-    may = _may_have(text, kind) if kind in _PATTERNS else text.rlike("[0-9]")
+    may = _may_have(text, kind) if kind in _PATTERNS else text.rlike("[0-9@]")
     return F.when(may, gaps).alias(f"gap_{kind}"), F.when(may, values).alias(f"value_{kind}")
 
 
@@ -116,23 +122,25 @@ def _located(kind: str) -> Column:
     return F.coalesce(F.aggregate(around, begin, step, lambda acc: acc["found"]), F.array().cast(_NO_SPANS)).alias(kind)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(row_id, doc_id, base, seeds, candidates): stored, so that row_id is fixed from here on.
+def find(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(row_id, doc_id, seeds, candidates): stored, so that row_id is fixed from here on.
 
-    base: the valid matches by start, then kind. seeds and candidates: (kind, start, end, value, left, right).
+    seeds, the valid matches, and candidates: (kind, start, end, value, left, right). With ``whole``,
+    also doc, all columns of ``docs``.
     """
     # a null doc_id or a repeated one does not tell rows apart
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("doc")] if whole else []))
+    kept = ["row_id", "doc_id", *(["doc"] if whole else [])]
     # one step at a time: an expression used within a lambda would be computed for each element
-    rows = rows.select("row_id", "doc_id", *(c for k in (*KINDS, "other") for c in _parts(F.col("text"), k)))
-    rows = rows.select("row_id", "doc_id", *(_located(k) for k in (*KINDS, "other")))
+    rows = rows.select(*kept, *(c for k in (*KINDS, "other") for c in _parts(F.col("text"), k)))
+    rows = rows.select(*kept, *(_located(k) for k in (*KINDS, "other")))
 
     def valid(kind: str) -> Column:
         return F.filter(F.col(kind), lambda x: _valid(x["value"], kind))
 
-    rows = rows.select("row_id", "doc_id", F.concat(*(valid(k) for k in KINDS)).alias("seeds"), "other")
+    rows = rows.select(*kept, F.concat(*(valid(k) for k in KINDS)).alias("seeds"), "other")
     candidates = F.filter("other", lambda x: ~F.exists("seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return stored(rows.select("row_id", "doc_id", "seeds", candidates.alias("candidates")))
+    return stored(rows.select(*kept, "seeds", candidates.alias("candidates")))
 
 
 def _mentions(found: DataFrame) -> DataFrame:
@@ -140,13 +148,19 @@ def _mentions(found: DataFrame) -> DataFrame:
     seeds = F.transform("seeds", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
     others = F.transform("candidates", lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
     rows = found.select("row_id", F.inline(F.concat(seeds, others)))
+    # marks stand for a dot in an address and for a separator between digits
+    rows = rows.withColumn("value", F.when(F.instr("value", "@") > 0, F.translate("value", _MARK, ".")).otherwise(F.translate("value", _MARK, " ")))
 
     def near(side: str) -> Column:
         return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(side, F.lit(""))), "[0-9]", "0"), r"\s+"), lambda w: w != "")
 
-    rows = rows.select("row_id", "kind", "start", "end", "value", near("left").alias("l"), near("right").alias("r"))
+    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]+", "0"), "[A-Za-z]+", "a")
+    before = F.regexp_extract(F.coalesce("left", F.lit("")), r"(^|\n|[^\pL\pN\s])[ \t]*$", 1)
+    behind = F.regexp_extract(F.coalesce("right", F.lit("")), r"^($|\n|[^\pL\pN\s])", 1)
+    rows = rows.select("row_id", "kind", "start", "end", "value", near("left").alias("l"), near("right").alias("r"), shape.alias("shape"), before.alias("before"), behind.alias("behind"))
     one, two, after = F.try_element_at("l", F.lit(-1)), F.try_element_at("l", F.lit(-2)), F.try_element_at("r", F.lit(1))
-    patterns = F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two, F.lit(" "), one), F.concat(F.lit("3 "), one, F.lit(" "), after))
+    patterns = F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two, F.lit(" "), one), F.concat(F.lit("3 "), one, F.lit(" "), after),
+        F.concat(F.lit("4 "), one, F.lit(" "), F.col("shape")), F.when(F.col("before") != "", F.concat(F.lit("5 "), "before", F.col("shape"), "behind")))
     return rows.select("row_id", "kind", "start", "end", "value", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("pattern"))
 
 
@@ -155,56 +169,57 @@ def _looks_like(value: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", value.contains("@"))
         .when(kind == "ip", value.rlike(r"^[0-9]+\.[0-9]+\.[0-9.]+$"))
-        .when(kind == "card", (digits >= 12) & value.rlike("^[0-9-]+$"))
-        .when(kind == "phone", (digits >= 7) & value.rlike("^[0-9+.()-]+$"))
+        .when(kind == "card", (digits >= 12) & value.rlike("^[0-9 -]+$"))
+        .when(kind == "phone", digits.between(7, 15) & value.rlike("^[0-9+.() -]+$"))
         .otherwise(False)
     )
 
 
 def confident_patterns(mentions: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(pattern, kind, confidence): patterns to be trusted after scoring the graph in rounds."""
-    edges = mentions.groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
-    seeded = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("n_seeds")).where(F.col("n_seeds") >= min_seeds)
-    degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeded = stored(seeded.join(degree, "pattern"))
-    rated = seeded.withColumn("confidence", F.col("n_seeds") / (F.col("n") + 1))
-    if seeded.isEmpty():
-        return rated.select("pattern", "kind", "confidence")
-    open_edges = stored(edges.where("seed is null").join(seeded.select("pattern", "kind"), "pattern").select("pattern", "kind", "value"))
-    for _ in range(rounds - 1):
-        scores = open_edges.join(rated, ["pattern", "kind"]).groupBy("kind", "value").agg(F.max("confidence").alias("score"))
-        gained = open_edges.join(scores, ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
-        rated = stored(
-            seeded.join(gained, ["pattern", "kind"], "left").withColumn("confidence", (F.col("n_seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("n") + 1))
-        )
-    return rated.where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
-
-
-def spans(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(row_id, doc_id, base, spans): base spans, and these with what the patterns discovered, by start, then kind."""
-    found = find(docs)
+    edges = stored(mentions.groupBy("pattern", "value").agg(F.max("kind").alias("seed")))
+    degree = stored(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    first = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    seeds = first
+    for k in range(rounds):
+        met = edges.join(seeds, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n_seeds"), F.sum("score").alias("gain"))
+        rated = met.where(F.col("n_seeds") >= min_seeds).join(degree, "pattern").withColumn("confidence", F.col("gain") / (F.col("n") + 1))
+        trusted = stored(rated.where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence"))
+        if k == rounds - 1 or trusted.isEmpty():
+            break
+        found = edges.where("seed is null").join(trusted, "pattern").where(_looks_like(F.col("value"), F.col("kind")))
+        found = found.groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("value", "best.kind", F.col("best.confidence").alias("score"))
+        seeds = stored(first.unionByName(found))
+    return trusted
+
+
+def spans(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS, whole: bool = False) -> DataFrame:
+    """(row_id, doc_id, base, spans): base spans, and these with what the patterns discovered, by start, then kind.
+
+    With ``whole``, also doc, all columns of ``docs``.
+    """
+    found = find(docs, whole)
     mentions = stored(_mentions(found))
     trusted = confident_patterns(mentions, rounds, min_confidence, min_seeds)
     more = mentions.where("kind is null").drop("kind").join(trusted, "pattern").where(_looks_like(F.col("value"), F.col("kind")))
     best = more.groupBy("row_id", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     # spans of one row, bounded by its text
-    more = best.groupBy("row_id").agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("more"))
+    more = stored(best.groupBy("row_id").agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("more")))  # so that its size is known
     rank = {k: i for i, k in enumerate(KINDS)}
 
     def ranked(x: Column) -> Column:
         order = F.coalesce(*(F.when(x["kind"] == k, F.lit(i)) for k, i in rank.items()))
         return F.struct(x["start"].alias("start"), order.alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
 
-    both = found.select("row_id", "doc_id", F.sort_array(F.transform("seeds", ranked)).alias("base")).join(more, "row_id", "left")
+    both = found.select("row_id", "doc_id", *(["doc"] if whole else []), F.sort_array(F.transform("seeds", ranked)).alias("base")).join(more, "row_id", "left")
     added = F.coalesce(F.transform("more", ranked), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
-    return both.select("row_id", "doc_id", "base", F.sort_array(F.concat("base", added)).alias("spans"))
+    return both.select("row_id", "doc_id", *(["doc"] if whole else []), "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by ``[KIND]``; overlapping spans by the first's."""
     names = docs.columns
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = spans(docs).where(F.size("spans") > 0).select(F.col("row_id").alias("_row"), F.col("spans").alias("_spans"))
+    marked = spans(docs, whole=True).select("doc", F.col("doc.text").alias("text"), F.col("spans").alias("_spans"))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -213,9 +228,8 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.when(inside, acc["out"]).otherwise(before).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
     done = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    joined = numbered.join(marked, "_row", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in names))
+    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(done)
+    return marked.select(*(text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -19,9 +19,11 @@ The benchmark's hashes are broadcast only if counted and found few; beyond
 that, both sides are shuffled. Hot passages give rows in proportion to the
 documents that hold them.
 
-Edge cases: null and empty texts match nothing; repeated documents are each
-reported, repeated items too; several overlaps of one pair give one row; an
-empty benchmark or table gives no rows; other columns are ignored.
+Edge cases: null and empty texts match nothing; ``overlaps`` gives one row for
+a pair of ids, so that rows sharing a doc_id are reported as one and rows
+without an id not at all, while ``clean`` judges every row on its own; repeated
+items are each reported; several overlaps of one pair give one row; an empty
+benchmark or table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,6 +132,12 @@ def _verified(docs: DataFrame, hits: DataFrame, item_words: DataFrame, n_seeds:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that overlap with an item; rows without a doc_id stay."""
-    bad = stored(overlaps(docs, items).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without those that overlap with an item, rows without a doc_id or with a repeated one each on their own."""
+    rows = docs.select("doc_id", "text")
+    twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if twice.isEmpty():
+        bad = stored(overlaps(docs, items).select("doc_id").distinct())
+        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    bad = stored(overlaps(numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), items).select(F.col("doc_id").alias("row")).distinct())
+    return numbered.join(bad, "row", "left_anti").select(*(F.col("doc")[c].alias(c) for c in docs.columns))

@@ -36,6 +36,7 @@ columns named score, predicted or evidence are replaced, others are kept.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -77,7 +78,7 @@ class Examples:
 
     def __init__(self, doc_ids: list, labels: np.ndarray, folds: np.ndarray, names: list[str], starts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         self.doc_ids, self.labels, self.folds, self.names = doc_ids, labels, folds, names
-        self.starts, self.ids, self.counts = starts, ids, counts
+        self.starts, self.ids, self.counts = starts, ids.astype(np.int32), counts.astype(np.int32)
 
     def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.starts[k], self.starts[k + 1])
@@ -136,7 +137,7 @@ class Index:
         w = w / np.where(norm > 0, norm, 1.0)[owner]
         order = np.argsort(owner, kind="stable")
         self.row_starts = np.append(0, np.cumsum(np.bincount(owner, minlength=len(found))))
-        self.row_ids, self.row_weights = ids[order], w[order]
+        self.row_ids, self.row_weights = ids[order], w[order]  # ids stay 32 bits wide
         order = np.lexsort((owner, ids))
         self.starts = np.append(0, np.cumsum(np.bincount(ids, minlength=len(e.names))))
         self.at, self.postings = owner[order].astype(np.int32), w[order]
@@ -214,15 +215,31 @@ def isotonic(shares: np.ndarray, labels: np.ndarray, rate: float) -> tuple[np.nd
     return x, np.maximum.accumulate(p)
 
 
+_built: dict[str, tuple[Index, dict[str, int]]] = {}
+
+
 class Model:
-    """Index of all examples, and what its shares mean."""
+    """The examples and what shares of votes mean. It travels without its index, which each process builds once."""
 
     def __init__(self, examples: Examples | None, shares: np.ndarray, labels: np.ndarray) -> None:
-        self.index = None
-        if examples is not None and len(examples.labels):
-            self.index = Index(examples, np.arange(len(examples.labels)))
-            self.number = {t: i for i, t in enumerate(examples.names)}
-            self.steps = isotonic(shares, labels, self.index.rate) if len(shares) and 0 < labels.sum() < len(labels) else None
+        self.examples, self.token = examples, uuid.uuid4().hex
+        known = len(shares) and 0 < labels.sum() < len(labels)
+        self.steps = isotonic(shares, labels, float(examples.labels.mean())) if known else None
+
+    def _parts(self) -> tuple[Index, dict[str, int]]:
+        if self.token not in _built:
+            _built.clear()
+            e = self.examples
+            _built[self.token] = Index(e, np.arange(len(e.labels))), {t: i for i, t in enumerate(e.names)}
+        return _built[self.token]
+
+    @property
+    def index(self) -> Index:
+        return self._parts()[0]
+
+    @property
+    def number(self) -> dict[str, int]:
+        return self._parts()[1]
 
     def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         get, found = self.number.get, {}
@@ -234,7 +251,7 @@ class Model:
         return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        if self.index is None:
+        if self.examples is None:
             return 0.0, []
         share, evidence = self.index.share(*self.counted(text))
         return (float(np.interp(share, *self.steps)) if self.steps is not None else share), evidence

@@ -4,9 +4,11 @@ Documents longer than the largest permitted length are cut; the pieces are
 dealt to shards by a hash, about ``SHARD`` documents each, and every shard is
 packed on its own, so no task grows with the corpus. Within a shard, pieces go
 in order of decreasing length to the open bin that they fill best. If none has
-room, a bin opens with the permitted length that costs least for each unit it
-can be expected to hold; at the end, every bin shrinks to the least permitted
-length that holds its contents.
+room, a bin opens. Every permitted length is tried for it: what is left of the
+shard's pieces, from the largest down, shows how full a bin of that length would
+get, and the one that costs least for each unit so held opens. So the mix of
+pieces decides between the lengths. At the end, every bin shrinks to the least
+permitted length that holds its contents.
 
 A bin of length c costs ``c + c * c / QUADRATIC + OVERHEAD``: its positions,
 attention over them, and what each sequence costs besides.
@@ -37,14 +39,38 @@ def cost(capacity: int) -> float:
     return capacity + capacity * capacity / QUADRATIC + OVERHEAD
 
 
+def _filled(room: int, left: list[int], sizes: int) -> int:
+    """How much of ``room`` the pieces left fill, taken from the largest that fits down; bit n of ``sizes``: some have length n."""
+    held, room0 = 0, room
+    taken: dict[int, int] = {}
+    while room > 0 and (fit := sizes & ((1 << (room + 1)) - 1)):
+        size = fit.bit_length() - 1
+        n = min(left[size] - taken.get(size, 0), room // size)
+        if n <= 0:  # all of this length are taken
+            sizes &= ~(1 << size)
+            continue
+        taken[size] = taken.get(size, 0) + n
+        held += n * size
+        room -= n * size
+        if taken[size] == left[size]:
+            sizes &= ~(1 << size)
+    return min(held, room0)
+
+
 def assign(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int], list[int]]:
     """Bin number of each length (in decreasing order), and the final capacity of each bin."""
     capacities = tuple(sorted(capacities))
-    rest = sum(lengths)
+    left, sizes = [0] * (capacities[-1] + 1), 0
+    for size in lengths:
+        left[size] += 1
+        sizes |= 1 << size
     room: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]
     have = 0  # bit r is set if some open bin has room r
     of, used = [], []
     for size in lengths:
+        left[size] -= 1
+        if not left[size]:
+            sizes &= ~(1 << size)
         fitting = have >> size << size
         if fitting:
             r = (fitting & -fitting).bit_length() - 1
@@ -52,12 +78,11 @@ def assign(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int],
             if not room[r]:
                 have ^= 1 << r
         else:
-            r = min((c for c in capacities if c >= size), key=lambda c: (cost(c) / min(c, rest), c))
+            r = min((c for c in capacities if c >= size), key=lambda c: (cost(c) / (size + _filled(c - size, left, sizes)), c))
             number = len(used)
             used.append(0)
         of.append(number)
         used[number] += size
-        rest -= size
         if r > size:
             if not room[r - size]:
                 have |= 1 << (r - size)
@@ -84,15 +109,18 @@ def _pack(capacities: tuple[int, ...]) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Column | None = None, shard: int = SHARD) -> DataFrame:
-    """One row per piece: its bin, the bin's final capacity, and where the piece stands in it."""
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Column | None = None, shard: int = SHARD, n_docs: int | None = None) -> DataFrame:
+    """One row per piece: its bin, the bin's final capacity, and where the piece stands in it.
+
+    ``n_docs``: the number of rows, where the caller knows it. Equal rows are dealt to shards one by one.
+    """
     size = F.octet_length(F.coalesce("text", F.lit(""))) if length is None else length
     most = max(capacities)
-    shards = max(1, -(-docs.count() // shard))  # from the files' footers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size")).where("size > 0")
-    starts = rows.select("doc_id", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(most).cast("long"))).alias("piece", "piece_start"))
+    shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard))  # from the files' footers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), F.monotonically_increasing_id().alias("row")).where("size > 0")
+    starts = rows.select("doc_id", "size", "row", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(most).cast("long"))).alias("piece", "piece_start"))
     pieces = starts.select(
         "doc_id", F.col("piece").cast("long").alias("piece"), "piece_start", F.least(F.lit(most), F.col("size") - F.col("piece_start")).cast("long").alias("length"),
-        F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "piece", "size", "row"), F.lit(shards)).alias("shard"),
     )
     return pieces.groupBy("shard").applyInArrow(_pack(tuple(capacities)), SCHEMA)

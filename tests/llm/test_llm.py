@@ -102,20 +102,41 @@ def test_packing_places_every_byte_once(spark, odd):
     assert packing.pack(odd.where("false")).collect() == []
 
 
-def test_packing_takes_the_fullest_bin_that_fits():
-    lengths = sorted((random.Random(4).randint(1, 8192) for _ in range(500)), reverse=True)
-    of, final = packing.assign(lengths, packing.CAPACITIES)
-    caps, used, rest = [], [], sum(lengths)
-    for size, number in zip(lengths, of):
-        room = [(c - u, k) for k, (c, u) in enumerate(zip(caps, used)) if c - u >= size]
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_opens_what_costs_least_for_what_is_left(seed):
+    """Best fit and openings against a plain simulation with lists."""
+    rnd = random.Random(seed)
+    caps = (8, 16, 32, 64)
+    lengths = sorted((rnd.choice([rnd.randint(1, 64), rnd.randint(1, 6)]) for _ in range(120)), reverse=True)
+    of, final = packing.assign(lengths, caps)
+    opened, used = [], []
+    for k, (size, number) in enumerate(zip(lengths, of)):
+        room = [c - u for c, u in zip(opened, used) if c - u >= size]
         if room:
-            assert caps[number] - used[number] == min(room)[0]
+            assert opened[number] - used[number] == min(room)
         else:
-            caps.append(min((c for c in packing.CAPACITIES if c >= size), key=lambda c: (packing.cost(c) / min(c, rest), c)))
+            best = []
+            for c in (c for c in caps if c >= size):
+                held, rest = size, lengths[k + 1 :]
+                for x in rest:  # from the largest down
+                    if held + x <= c:
+                        held += x
+                best.append((packing.cost(c) / held, c))
+            opened.append(min(best)[1])
             used.append(0)
-            assert number == len(caps) - 1
+            assert number == len(opened) - 1
         used[number] += size
-        rest -= size
+    assert final == [min(c for c in caps if c >= u) for u in used]
+
+
+def test_packing_mix_of_pieces_decides_the_length():
+    assert packing.assign([1024] * 8, (1024, 2048))[1] == [2048] * 4 and packing.assign([1024, 1], (1024, 2048))[1] == [1024, 1024]
+
+
+def test_packing_spreads_equal_rows(spark):
+    rows = spark.createDataFrame([(None, "x" * 100)] * 3000, "doc_id long, text string")
+    got = packing.pack(rows, shard=300).selectExpr("bin_id div 4294967296 AS shard").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 3000 and max(r["count"] for r in got) < 600
 
 
 def test_archives_are_zip_files_and_round_trip(spark, tmp_path):

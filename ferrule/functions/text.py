@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def norm(name: str) -> Column:
     return F.expr(f"CASE {name} {variants} ELSE CASE {endings} ELSE {name} END END")
 
 
-def token_rows(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """(keys..., term): normalised tokens, a row each, in no order.
+def raw_rows(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(keys..., _w): tokens before they are normalised, a row each, in no order.
 
     Split at anything but letters, digits and ``+#._-``; stop words and single letters go; compound
     words also give their parts. Works on exploded rows, where expressions are compiled.
@@ -35,8 +37,19 @@ def token_rows(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
     raw = rows.select(*keys, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9+#._-]+")).alias("_w"))
     raw = raw.select(*keys, F.btrim("_w", F.lit("._-")).alias("_w")).where((F.length("_w") >= 2) & ~in_list("_w", STOP))
     stop = ", ".join(repr(w) for w in STOP)
-    each = F.expr(f"CASE WHEN _w RLIKE '[-.]' THEN concat(array(_w), filter(split(_w, '[-.]'), p -> length(p) > 2 AND p NOT IN ({stop}))) ELSE array(_w) END")
-    return raw.select(*keys, F.explode(each).alias("_w")).select(*keys, norm("_w").alias("term"))
+    each = F.expr(f"CASE WHEN contains(_w, '-') OR contains(_w, '.') THEN concat(array(_w), filter(split(_w, '[-.]'), p -> length(p) > 2 AND p NOT IN ({stop}))) ELSE array(_w) END")
+    return raw.select(*keys, F.explode(each).alias("_w"))
+
+
+def token_rows(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(keys..., term): normalised tokens, a row each, in no order."""
+    return raw_rows(rows, text, *keys).select(*keys, norm("_w").alias("term"))
+
+
+def term_counts(rows: DataFrame, text: Column) -> DataFrame:
+    """(term, n) over all texts: spellings are counted first, and each is normalised once."""
+    spelt = raw_rows(rows, text).groupBy("_w").agg(F.count(F.lit(1)).alias("n"))
+    return spelt.select(norm("_w").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def norm_key(text: Column) -> Column:
@@ -66,8 +79,13 @@ def intent_key(tokens: Column) -> Column:
 
 
 def flags(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Names of the rules whose pattern is found, in the order of the rules."""
-    return F.filter(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in rules)), lambda x: x.isNotNull())
+    r"""Names of the rules whose pattern is found, in the order of the rules; \w, \d and \b are those of Unicode."""
+    return F.filter(F.array(*(F.when(text.rlike(f"(?U){p}"), F.lit(n)) for n, p in rules)), lambda x: x.isNotNull())
+
+
+def found_in(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words is in the text; cheaper than a pattern."""
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
+from ferrule.functions import vocab as V
 from ferrule.jobs import ranking
 from ferrule.operators import choose, retrieve
 from ferrule.sources.tables import table
 
-YES, NO = ("yes", "yep", "yeah", "correct", "right", "works"), ("no", "nope", "wrong", "not that", "incorrect")
 KEPT_SECONDS = 12 * 3600
 
 
@@ -48,10 +48,9 @@ def replies(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     rows = rows.withColumn("reply", F.lead("text").over(w)).withColumn("who", F.lead("role").over(w)).where("role = 'assistant' and who = 'user'")
     names = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))), 1, 3)
-    rows = rows.select("conv_id", "turn", names.alias("names"), F.concat(F.lit(" "), F.regexp_replace("reply", "[^a-z0-9]+", " "), F.lit(" ")).alias("reply"))
-    said = lambda words: F.exists(F.split(F.lit(",".join(words)), ","), lambda x: F.contains(F.col("reply"), F.concat(F.lit(" "), x, F.lit(" "))))
-    named = F.filter("names", lambda n: F.contains(F.col("reply"), F.concat(F.lit(" "), n, F.lit(" "))))
-    first = F.when(said(YES) & ~said(NO), F.get("names", F.lit(0)))
+    rows = rows.select("conv_id", "turn", names.alias("names"), "reply", F.concat(F.lit(" "), F.regexp_replace("reply", r"[^\p{L}\p{N}_]+", " "), F.lit(" ")).alias("words"))
+    named = F.filter("names", lambda n: F.contains(F.col("words"), F.concat(F.lit(" "), n, F.lit(" "))))
+    first = F.when(F.col("reply").rlike(f"(?U){V.YES}") & ~F.col("reply").rlike(f"(?U){V.NO}"), F.get("names", F.lit(0)))
     return rows.select("conv_id", "turn", F.array_join("names", ",").alias("offered"), F.coalesce(F.get(named, F.lit(0)), first).alias("preferred"))
 
 
@@ -106,10 +105,6 @@ def page_links(spark, d):
     return rows.select("page_id", "n_links", F.size("links").alias("n_distinct"), F.array_join(F.array_sort(F.array_distinct(hosts)), ",").alias("hosts"))
 
 
-def _any(words):
-    return "(" + " OR ".join(f"contains(p, ' {w} ')" for w in words) + ")"
-
-
 _E = "WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS at0 FROM events)"
 
 QUERIES = {
@@ -124,8 +119,11 @@ SELECT query_id, item_id, score, rank, gate, CASE WHEN gate <> 'moved' THEN rank
 oq AS (SELECT query_id, max(item_id) FILTER (rank = 1) AS fused_top, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS offered FROM z WHERE rank <= 3 GROUP BY query_id),
 rq AS (SELECT query_id, bm25_top, fused_top, round((s0 - coalesce(s1, 0)) / s0, 4) AS gap, offered FROM lq JOIN oq USING (query_id) WHERE s0 > 0)
 SELECT * FROM rq WHERE (bm25_top <> fused_top OR gap < 0.15::DOUBLE) AND bm25_top NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""),
-    "reply_choices": (replies, "WITH t AS (SELECT conv_id, turn, role, lower(coalesce(text, '')) AS text FROM conversations), n AS (SELECT *, lead(text) OVER w AS reply, lead(role) OVER w AS who FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), m AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]{6,}') AS a, ' ' || regexp_replace(reply, '[^a-z0-9]+', ' ', 'g') || ' ' AS p FROM n WHERE role = 'assistant' AND who = 'user'), "
-        f"o AS (SELECT *, list_filter(a, lambda x, i: list_position(a, x) = i)[1:3] AS names FROM m) SELECT conv_id, turn, array_to_string(names, ',') AS offered, coalesce(list_filter(names, lambda x: contains(p, ' ' || x || ' '))[1], CASE WHEN {_any(YES)} AND NOT {_any(NO)} THEN names[1] END) AS preferred FROM o"),
+    "reply_choices": (replies, r"""WITH t AS (SELECT conv_id, turn, role, lower(coalesce(text, '')) AS text FROM conversations), n AS (SELECT *, lead(text) OVER w AS reply, lead(role) OVER w AS who FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]{6,}') AS a, ' ' || regexp_replace(reply, '[^\p{L}\p{N}_]+', ' ', 'g') || ' ' AS p, regexp_replace(reply, '[^\x00-\x7F]', 'x', 'g') AS q FROM n WHERE role = 'assistant' AND who = 'user'),
+o AS (SELECT *, list_filter(a, lambda x, i: list_position(a, x) = i)[1:3] AS names FROM m)
+SELECT conv_id, turn, array_to_string(names, ',') AS offered, coalesce(list_filter(names, lambda x: contains(p, ' ' || x || ' '))[1],
+  CASE WHEN regexp_matches(q, '\b(?:yes|yep|yeah|correct|right|that''?s (?:it|right)|works?)\b') AND NOT regexp_matches(q, '\b(?:no|nope|wrong|not that|incorrect)\b') THEN names[1] END) AS preferred FROM o"""),
     "preferred_pairs": (preferred_pairs, ranking.BM + """, x AS (SELECT * FROM bmr WHERE rank <= 10), kq AS (SELECT query_id, min(rank) - 1 AS led_by, arg_min(item_id, rank) AS preferred FROM x WHERE item_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY query_id)
 SELECT query_id, preferred, led_by, item_id AS dispreferred, round(1 / (1 + log2(1 + led_by::DOUBLE)), 4) AS weight FROM x JOIN kq USING (query_id) WHERE rank <= led_by"""),
     "merged_candidates": (merged_candidates, "WITH r AS (SELECT p_type || '/' || p_size AS identifier, p_brand AS source, p_partkey, p_size AS installs FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY source, p_partkey DESC) AS k FROM r), c AS (SELECT identifier, count(DISTINCT source) AS sources FROM r GROUP BY 1) SELECT identifier, source, p_partkey, installs, sources FROM k JOIN c USING (identifier) WHERE k = 1"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
 from ferrule.functions import vocab as V
+from ferrule.jobs.scaffold import SCAFFOLD
 from ferrule.sources.tables import table
 
 
@@ -25,27 +26,6 @@ def skip_reason(text, source):
     )
 
 
-def features(spark, d):
-    rows = _turns(spark, d).withColumn("low", F.lower("text"))
-    rows = rows.select("conv_id", "turn", "text", X.flags(F.col("low"), V.INTENTS).alias("i"), X.flags(F.col("low"), V.RISKS).alias("r"), F.size(X.split_words(F.col("text"))).alias("words"))
-    limits = F.slice(F.transform(F.regexp_extract_all("text", F.lit(V.CONSTRAINT), F.lit(0)), lambda x: F.btrim(x, F.lit(" "))), 1, 6)
-    return rows.select(
-        "conv_id", "turn", F.array_join("i", ",").alias("intents"), F.array_join("r", ",").alias("risks"), "words",
-        F.size(limits).alias("n_constraints"), (F.concat("text", F.lit(" ")).rlike(r"\?\s") & (F.size("i") == 0)).alias("question"),
-    )
-
-
-def depth(spark, d):
-    """Result depth from the complexity of a prompt: 4, 7 or 10."""
-    rows = _turns(spark, d).withColumn("low", F.lower("text"))
-    several = F.lit(False)
-    for w in (" and ", " then ", " also ", " plus "):
-        several = several | F.col("low").contains(w)
-    rows = rows.select("conv_id", "turn", F.size(X.flags(F.col("low"), V.INTENTS)).alias("i"), F.size(X.split_words(F.col("text"))).alias("words"), several.alias("m"))
-    points = sum(c.cast("int") for c in (F.col("i") >= 2, F.col("i") >= 3, F.col("words") > 25, F.col("m")))
-    return rows.select("conv_id", "turn", F.when(points >= 3, 10).when(points >= 1, 7).otherwise(4).alias("depth"))
-
-
 def admission(spark, d):
     rows = _turns(spark, d).withColumn("reason", skip_reason(F.col("text"), F.col("role")))
     words = X.split_words(F.lower("text"))
@@ -66,7 +46,7 @@ def answered(spark, d):
     return rows.groupBy("conv_id", "prompt_turn").agg(F.min("turn").alias("turn"))
 
 
-def similar_intents(spark, d, least=0.15):
+def similar_intents(spark, d, least=0.6):
     """User turns with another user turn of at least that token overlap: the best, the first of equals.
 
     Pairs come from shared tokens held by few turns (a pair above the bound shares a rare token or has
@@ -94,27 +74,19 @@ def duplicates(spark, d):
 
 
 def tally(spark, d):
+    """How often each intent stands in the turns of each role; list values are counted one by one."""
     return _turns(spark, d).select("role", F.explode(X.flags(F.lower("text"), V.INTENTS)).alias("intent")).groupBy("role", "intent").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _s(p):
-    return "'" + p.replace("'", "''").replace("(?i)", "") + "'"
-
-
-def _flags(x, rules, opt=""):
-    return "[" + ", ".join(f"CASE WHEN regexp_matches({x}, {_s(p)}{opt}) THEN '{n}' END" for n, p in rules) + "]"
-
-
-_T = "WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), f AS (SELECT *, list_filter(" + _flags("lower(text)", V.INTENTS) + ", lambda x: x IS NOT NULL) AS i, list_filter(" + _flags("lower(text)", V.RISKS) + ", lambda x: x IS NOT NULL) AS r, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM t)"
 _IT = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{{2,}}')), lambda w: w NOT IN ({', '.join(repr(w) for w in V.INTENT_STOP)}))"
 
+_INTENTS = "WITH " + SCAFFOLD[SCAFFOLD.index("i(k, name, rx)") : SCAFFOLD.index("r(k, name, rx)")].strip().rstrip(",")
+
 QUERIES = {
-    "prompt_features": (features, _T + f" SELECT conv_id, turn, array_to_string(i, ',') AS intents, array_to_string(r, ',') AS risks, len(w) AS words, least(6, len(regexp_extract_all(text, {_s(V.CONSTRAINT)}, 0, 'i'))) AS n_constraints, regexp_matches(text || ' ', '\\?\\s') AND len(i) = 0 AS question FROM f"),
-    "prompt_depth": (depth, _T + ", p AS (SELECT *, (len(i) >= 2)::INT + (len(i) >= 3)::INT + (len(w) > 25)::INT + (regexp_matches(lower(text), ' (and|then|also|plus) '))::INT AS s FROM f) SELECT conv_id, turn, CASE WHEN s >= 3 THEN 10 WHEN s >= 1 THEN 7 ELSE 4 END AS depth FROM p"),
-    "prompt_admission": (admission, _T + ", a AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS p FROM f), b AS (SELECT *, CASE WHEN role IN ('system', 'loop_wakeup', 'schedule_wakeup', 'poll_event') THEN 'source=' || role WHEN p = '' THEN 'empty' WHEN regexp_matches(p, '^[*#]') THEN 'bypass prefix' WHEN " + " OR ".join(f"contains(p, '{m}')" for m in V.MACHINE_MARKERS) + " THEN 'machine-generated content' WHEN starts_with(p, '/') AND len(w) < 4 THEN 'slash command' END AS reason FROM a) SELECT conv_id, turn, reason, reason IS NULL AND length(text) BETWEEN 12 AND 1500 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) >= greatest(4, len(w) // 8) AS usable FROM b"),
+    "prompt_admission": (admission, "WITH f AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM conversations), a AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS p FROM f), b AS (SELECT *, CASE WHEN role IN ('system', 'loop_wakeup', 'schedule_wakeup', 'poll_event') THEN 'source=' || role WHEN p = '' THEN 'empty' WHEN regexp_matches(p, '^[*#]') THEN 'bypass prefix' WHEN " + " OR ".join(f"contains(p, '{m}')" for m in ("<system-reminder>", "<local-command-stdout>", "<command-name>", "<task-notification>", "[SYSTEM NOTIFICATION", "This session is being continued from", "Caveat: The messages below were generated by the user while running")) + " THEN 'machine-generated content' WHEN starts_with(p, '/') AND len(w) < 4 THEN 'slash command' END AS reason FROM a) SELECT conv_id, turn, reason, reason IS NULL AND length(text) BETWEEN 12 AND 1500 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) >= greatest(4, len(w) // 8) AS usable FROM b"),
     "prompt_keys": (keys, f"WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), k AS (SELECT *, list_sort({_IT}) AS s FROM t) SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '<[^>]+>', ' ', 'g'), '^[ \\t\\n\\r]*[*#]+[ \\t\\n\\r]*', ''), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS clean, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS key, CASE WHEN len(s) > 24 THEN 'intent:' || left(sha1(array_to_string(s, ' ')), 16) || ' (' || len(s) || ' tokens)' ELSE array_to_string(s, ' ') END AS intent FROM k"),
     "answered_prompts": (answered, "WITH t AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prompt_turn FROM conversations) SELECT conv_id, prompt_turn, min(turn) AS turn FROM t WHERE role = 'assistant' AND prompt_turn IS NOT NULL GROUP BY ALL"),
-    "similar_intents": (similar_intents, f"WITH u AS (SELECT conv_id || ':' || turn AS id, {_IT} AS t FROM conversations WHERE role = 'user'), w AS (SELECT id, len(t) AS n, unnest(t) AS w FROM u), p AS (SELECT a.id, b.id AS other, round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 4) AS overlap FROM w a JOIN w b ON a.w = b.w AND a.id <> b.id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS k FROM p WHERE overlap >= 0.15) SELECT id, other, overlap FROM r WHERE k = 1"),
+    "similar_intents": (similar_intents, f"WITH u AS (SELECT conv_id || ':' || turn AS id, {_IT} AS t FROM conversations WHERE role = 'user'), w AS (SELECT id, len(t) AS n, unnest(t) AS w FROM u), p AS (SELECT a.id, b.id AS other, round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 4) AS overlap FROM w a JOIN w b ON a.w = b.w AND a.id <> b.id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS k FROM p WHERE overlap >= 0.6::DOUBLE) SELECT id, other, overlap FROM r WHERE k = 1"),
     "duplicate_documents": (duplicates, "WITH k AS (SELECT doc_id, source, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' ') AS key, quality FROM documents LEFT JOIN labels USING (doc_id)) SELECT min(doc_id) AS first_id, count(*) AS n, coalesce(string_agg(DISTINCT quality::VARCHAR, ',' ORDER BY quality::VARCHAR), '') AS labels, arg_min(source, doc_id) AS source FROM k GROUP BY key"),
-    "intent_tally": (tally, _T + " SELECT role, intent, count(*) AS n FROM (SELECT role, unnest(i) AS intent FROM f) GROUP BY ALL"),
+    "intent_tally": (tally, _INTENTS + " SELECT role, name AS intent, count(*) AS n FROM (SELECT role, regexp_replace(lower(coalesce(text, '')), '[^\\x00-\\x7F]', 'x', 'g') AS t FROM conversations), i WHERE regexp_matches(t, rx) GROUP BY ALL"),
 }

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import norm, token_rows
+from ferrule.functions.text import norm, raw_rows, term_counts, token_rows
 from ferrule.jobs import sqltext
 from ferrule.operators import choose, evaluate, retrieve
+from ferrule.sources.shared import stored
 from ferrule.sources.tables import table
 
 
@@ -22,13 +23,11 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    return retrieve.bm25(retrieve.postings(items, F.col("text")), _queries(spark, d), items.agg(F.count(F.lit(1)).alias("n")))
+    return retrieve.bm25_over(_items(spark, d), F.col("text"), _queries(spark, d))
 
 
 def tokens(spark, d):
-    rows = token_rows(table(spark, d, "documents"), F.col("text"))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return term_counts(table(spark, d, "documents"), F.col("text"))
 
 
 def norms(spark, d):
@@ -38,7 +37,9 @@ def norms(spark, d):
 
 def df_idf(spark, d):
     items = _items(spark, d)
-    counts = retrieve.postings(items, F.col("text")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # spellings of an item first, so that each is normalised once
+    spelt = raw_rows(items, F.col("text"), "item_id").distinct()
+    counts = spelt.select("item_id", norm("_w").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counts = counts.crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("n"))))
     return counts.select("term", "df", F.round(retrieve.idf(F.col("n"), F.col("df"), F.col("term")), 4).alias("idf"))
 
@@ -132,7 +133,7 @@ def _gold(spark, d):
 
 
 def metrics(spark, d):
-    ranking = retrieve.ranked(_bm25(spark, d))
+    ranking = stored(retrieve.ranked(_bm25(spark, d)))  # both picks and ranks come from it
     picks = ranking.where("score >= 0.5")
     return evaluate.scores(evaluate.per_query(_queries(spark, d), _gold(spark, d), ranking, picks))
 

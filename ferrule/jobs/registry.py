@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.jobs import choices, prompts, ranking, signals, streams
+from ferrule.jobs import catalogue, choices, prompts, ranking, scaffold, signals, streams
 
-_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES | choices.QUERIES
+_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES | choices.QUERIES | scaffold.QUERIES | catalogue.QUERIES
 
 
 def queries() -> dict:

@@ -76,9 +76,18 @@ def retention(spark, d):
     return g.select("user_id", F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), ",").alias("last_five"), "recent")
 
 
+def guarded(text):
+    """The signs of harm in a text; patterns are searched only where a word that they need is there."""
+    low = F.lower(text)
+    rules = [(n, p, V.INDICATOR_GUARDS[n]) for n, p in V.INDICATORS]
+    hits = [F.when((X.found_in(low, words) if words else text.rlike(r"[0-9]\.[0-9]")) & text.rlike(f"(?U){p}"), F.lit(n)) for n, p, words in rules]
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+
 def indicators(spark, d):
+    """Signs of harm in every document."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.select("doc_id", F.array_join(X.flags(F.col("text"), V.INDICATORS), ",").alias("signs"), F.col("text").rlike(V.PAID).alias("paid"))
+    return docs.select("doc_id", F.array_join(guarded(F.col("text")), ",").alias("signs"), F.col("text").rlike(f"(?U){V.PAID}").alias("paid"))
 
 
 def page_bodies(spark, d):
@@ -88,14 +97,6 @@ def page_bodies(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.slice(found, 1, 120), " ").alias("body"))
 
 
-def near_hosts(spark, d, known=("tionti.example.com", "theand.example.net", "ander.example.org", "ering.example.com")):
-    """Hosts within two edits of a known one, but not equal to it; the known list is a small parameter."""
-    hosts = table(spark, d, "pages").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host")).distinct()
-    names = spark.createDataFrame([(k, n) for k, n in enumerate(known)], "k int, known string")
-    pairs = hosts.join(F.broadcast(names), F.levenshtein("host", "known", 2).between(1, 2))
-    return pairs.groupBy("host").agg(F.min_by("known", "k").alias("known"))
-
-
 def hashes(spark, d):
     """Content hash of each part and the first part that has it."""
     p = table(spark, d, "part").select("p_partkey", X.item_hash(F.col("p_type"), F.col("p_name"), F.col("p_brand")).alias("hash"))
@@ -115,13 +116,6 @@ def work_list(spark, d):
     return docs.join(have, "hash", "left_anti").select("doc_id", "hash")
 
 
-def gates(spark, d):
-    """First reason against each part as a candidate; null if it passes."""
-    p = table(spark, d, "part")
-    reason = F.when(~F.col("p_type").rlike("STANDARD|ECONOMY|PROMO"), "kind").when(F.col("p_retailprice") > 1500, "not free").when(F.col("p_size") < 10, "few installs")
-    return p.select("p_partkey", reason.alias("reason"))
-
-
 def profiles(spark, d):
     """Each brand's profile: the longest pattern that it contains; the card depth from its size and tier."""
     rules = spark.createDataFrame([("Brand#1", 8192, "fast"), ("Brand#11", 65536, "balanced"), ("Brand#2", 32768, "premium"), ("", 200000, "balanced")], "match string, ctx int, tier string")
@@ -146,9 +140,20 @@ _E = "WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 A
 _BODY = "array_to_string(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs'), '```.*?```', ' ', 'gs'), '[#*_`>|]', ' ', 'g'), '[A-Za-z][A-Za-z0-9+#._-]*')[1:120], ' ')"
 
 
-def _ind():
-    parts = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in V.INDICATORS)
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) SELECT doc_id, array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ',') AS signs, regexp_matches(text, '{V.PAID}') AS paid FROM d"
+INDICATORS_SQL = r"""ind(k, name, rx) AS (VALUES
+ (1, 'curl|sh pipe', 'curl[^\n|]{0,120}\|\s*(?:sudo\s+)?(?:ba)?sh'),
+ (2, 'base64 decode', 'base64\s+(?:-[A-Za-z]*\s+)*(?:--?)?decode\b|base64\s+-[dD]\b'),
+ (3, 'eval/exec', '\beval\s*\(|\bexec\s*\('),
+ (4, 'credential path', '\.env\b|\.ssh\b|id_rsa|keychain|credential|\.aws\b|\.kube/config'),
+ (5, 'exfil host', 'webhook\.site|pastebin\.com|transfer\.sh|ngrok\.io'),
+ (6, 'raw IP', '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b'),
+ (7, 'rm -rf /', 'rm\s+-rf\s+/(?:\s|$|\*)'),
+ (8, 'persistence', 'launchctl|crontab\b|systemctl\s+(?:enable|start)'),
+ (9, 'privilege edit', 'chmod\s+[+-]?(?:[su]|[\drwxst]{3,4})\s+/usr|/etc/sudoers'))"""
+PAID_SQL = r"'\b(paid|subscription|pricing|per[- ]month|/mo\b|free trial|requires.{0,20}api[_ ]?key|api[_ ]?key required|upgrade to|pro plan|enterprise plan|credit card)\b'"
+_IND = f"""WITH {INDICATORS_SQL}, d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g') AS t FROM documents),
+h AS (SELECT doc_id, string_agg(name, ',' ORDER BY k) AS signs FROM d, ind WHERE regexp_matches(t, rx, 'i') GROUP BY doc_id)
+SELECT doc_id, coalesce(signs, '') AS signs, regexp_matches(t, {PAID_SQL}, 'i') AS paid FROM d LEFT JOIN h USING (doc_id)"""
 
 
 def _hash(*c):
@@ -161,14 +166,12 @@ QUERIES = {
     "one_to_one_pairs": (one_to_one, None),
     "adoption_ratio": (ratio, _E + ", g AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS buys FROM e GROUP BY user_id), r AS (SELECT *, CASE WHEN views >= 3 THEN round(buys::DOUBLE / views, 4) END AS ratio FROM g) SELECT user_id, views, buys, ratio, ratio < 0.75 AS below FROM r"),
     "event_retention": (retention, _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at0 DESC, event_id DESC) AS k, max(at0) OVER (PARTITION BY user_id) AS m FROM e) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 5) AS last_five, count(*) FILTER (m - at0 <= 3600) AS recent FROM r GROUP BY user_id"),
-    "harm_indicators": (indicators, _ind()),
+    "harm_indicators": (indicators, _IND),
     "page_bodies": (page_bodies, f"SELECT page_id, {_BODY} AS body FROM pages"),
-    "near_hosts": (near_hosts, "WITH h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), k AS (SELECT unnest([0, 1, 2, 3]) AS k, unnest(['tionti.example.com', 'theand.example.net', 'ander.example.org', 'ering.example.com']) AS known) SELECT host, arg_min(known, k) AS known FROM h, k WHERE levenshtein(host, known) BETWEEN 1 AND 2 GROUP BY host"),
     "content_hashes": (hashes, f"SELECT {_hash('p_type', 'p_name', 'p_brand')} AS hash, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY 1"),
     "first_items": (first_items, "SELECT p_name, p_partkey, p_brand, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS k FROM part) WHERE k = 1"),
     "embedding_work_list": (work_list, f"WITH d AS (SELECT doc_id, {_hash('text')} AS hash FROM documents) SELECT doc_id, hash FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id IN (SELECT vec_id FROM embeddings))"),
-    "candidate_gates": (gates, "SELECT p_partkey, CASE WHEN NOT regexp_matches(p_type, 'STANDARD|ECONOMY|PROMO') THEN 'kind' WHEN p_retailprice > 1500 THEN 'not free' WHEN p_size < 10 THEN 'few installs' END AS reason FROM part"),
-    "model_profiles": (profiles, None),
+    "model_profiles": (profiles, "WITH r(match, ctx, tier) AS (VALUES ('Brand#1', 8192, 'fast'), ('Brand#11', 65536, 'balanced'), ('Brand#2', 32768, 'premium'), ('', 200000, 'balanced')), b AS (SELECT DISTINCT p_brand FROM part), m AS (SELECT p_brand, arg_max(ctx, length(match)) AS ctx, arg_max(tier, length(match)) AS tier FROM b, r WHERE contains(p_brand, match) GROUP BY p_brand) SELECT p_brand, tier, least(CASE WHEN ctx <= 32768 THEN 4 WHEN ctx <= 65536 THEN 6 WHEN ctx <= 131072 THEN 8 ELSE 50 END, CASE tier WHEN 'fast' THEN 12 ELSE 10 END) AS depth FROM m"),
     "counts_by_kind": (kinds, "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)"),
     "property_keys": (props, "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events WHERE json_valid(props)) GROUP BY ALL"),
 }

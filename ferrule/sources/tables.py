@@ -23,18 +23,34 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def front_matter(text: Column) -> Column:
-    """map of lower-case key -> value from the block between the leading ``---`` and the next; later keys win."""
-    block = F.regexp_extract(text, r"(?s)^---[ \t]*\n(.*?)\n---", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z_-]+[ \t]*:"))
-
-    def entry(x: Column) -> Column:
-        value = F.btrim(F.regexp_replace(x, r"^[^:]*:[ \t]*", ""), F.lit(" \t\"'"))
-        return F.struct(F.lower(F.btrim(F.regexp_extract(x, r"^([^:]*):", 1), F.lit(" \t"))).alias("key"), value.alias("value"))
-
-    return F.aggregate(
-        lines, F.create_map().cast("map<string,string>"),
-        lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, v: k != entry(x)["key"]), F.create_map(entry(x)["key"], entry(x)["value"])),
-    )
+    """map of lower-case key -> value from the block between the leading ``---`` and the next.
+
+    A value that is a fold mark takes the indented or blank lines after it, joined by spaces. Quotes around a
+    value go; later keys win; comments, other indented lines and lines without a colon are skipped. Text
+    without a block, or with one that does not end, has no keys.
+    """
+    block = F.regexp_extract(text, r"(?s)^---(.*?)\n---", 1)
+    kept = F.filter(F.split(block, r"\r?\n"), lambda x: ~x.rlike(r"^[ \t]*#") & (x.rlike(r"^[ \t]*$") | x.rlike(r"^[ \t]") | x.contains(":")))
+    empty = F.create_map().cast("map<string,string>")
+    start = F.struct(empty.alias("m"), F.lit(None).cast("string").alias("fold"))
+
+    def put(m: Column, key: Column, value: Column) -> Column:
+        return F.map_concat(F.map_filter(m, lambda k, v: k != key), F.create_map(key, value))
+
+    def step(acc: Column, x: Column) -> Column:
+        line = F.btrim(x, F.lit(" \t"))
+        key = F.lower(F.btrim(F.regexp_extract(x, r"^([^:]*):", 1), F.lit(" \t")))
+        value = F.btrim(F.regexp_replace(x, r"^[^:]*:", ""), F.lit(" \t"))
+        folds = value.rlike(r"^[>|][+-]?$")
+        bare = F.when(value.rlike(r"""(?s)^(?:"[^"]*"|'[^']*')$|^"".*"$|^".*"$|^'.*'$"""), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        held = F.coalesce(F.element_at(acc["m"], acc["fold"]), F.lit(""))
+        joined = F.when(line == "", held).when(held == "", line).otherwise(F.concat(held, F.lit(" "), line))
+        indented = x.rlike(r"^[ \t]") | (line == "")
+        more = F.struct(put(acc["m"], acc["fold"], joined).alias("m"), acc["fold"].alias("fold"))
+        entry = F.struct(put(acc["m"], key, F.when(folds, F.lit("")).otherwise(bare)).alias("m"), F.when(folds, key).alias("fold"))
+        return F.when(indented & acc["fold"].isNotNull(), more).when(indented, acc).otherwise(entry)
+
+    return F.aggregate(kept, start, step, lambda acc: acc["m"])
 
 
 def toml_tables(text: Column, name: str) -> Column:

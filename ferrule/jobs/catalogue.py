@@ -106,8 +106,9 @@ re AS (SELECT pr.*, raw / q_idf + least(0.12::DOUBLE * len(hinted), 0.36::DOUBLE
 sc AS (SELECT query_id, item_id, round(CASE WHEN ie IS NOT NULL AND len(list_intersect(ask, ie)) = 0 THEN rel * 0.14::DOUBLE ELSE rel END, 3) AS score, round(raw, 3) AS raw, hits, list_concat(hits, hinted[1:3]) AS all_hits FROM re),
 scr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sc)"""
 _FUSE = _SETS + """, vv AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
-dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) - 1 AS dense_rank FROM (SELECT query_id, item_id, round(list_cosine_similarity(a.v, b.v), 4) AS cosine
-  FROM queries, items, nv, vv a, vv b WHERE query_id % 7 <> 0 AND a.vec_id = query_id % n AND b.vec_id = item_id % n)),
+qv AS MATERIALIZED (SELECT query_id, v FROM (SELECT query_id, query_id % n AS vec_id FROM queries, nv WHERE query_id % 7 <> 0) JOIN vv USING (vec_id)), iv AS MATERIALIZED (SELECT item_id, v FROM (SELECT item_id, item_id % n AS vec_id FROM items, nv) JOIN vv USING (vec_id)),
+dc AS MATERIALIZED (SELECT query_id, item_id, round(list_cosine_similarity(iv.v, qv.v), 4) AS cosine FROM qv, iv),
+dn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) - 1 AS dense_rank FROM dc),
 nr AS (SELECT query_id, item_id, dense_rank, CASE WHEN count(*) OVER w > 1 THEN 1 - dense_rank::DOUBLE / (count(*) OVER w - 1) ELSE 1 END AS near, 0.35::DOUBLE * (1 - dense_rank::DOUBLE / count(*) OVER w) AS bonus
   FROM dn WHERE dense_rank < 50 WINDOW w AS (PARTITION BY query_id)),
 hd AS (SELECT query_id, item_id, score AS base, (score - min(score) OVER w) / CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS lex FROM scr WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)),
@@ -115,7 +116,7 @@ bo AS (SELECT * FROM (SELECT * FROM hd WHERE query_id IN (SELECT query_id FROM n
 bx AS (SELECT bo.*, all_hits, coalesce(ie IS NOT NULL AND qe IS NOT NULL AND len(list_intersect(qe, ie)) = 0, false) AS wrong_ecosystem, round(coalesce(base, 0) + coalesce(bonus, 0), 3) AS b0, mt.item_id IS NOT NULL AS exact
   FROM bo LEFT JOIN sc USING (query_id, item_id) LEFT JOIN ieco USING (item_id) LEFT JOIN qeco USING (query_id) LEFT JOIN mt USING (query_id, item_id)),
 tp AS (SELECT DISTINCT query_id, item_id FROM (SELECT query_id, item_id, unnest(all_hits) AS term FROM bx) JOIN ident USING (item_id, term) WHERE term NOT IN (SELECT term FROM mn)),
-fu AS (SELECT query_id, item_id, round(CASE WHEN wrong_ecosystem THEN round(b0 * 0.14::DOUBLE, 3) ELSE b0 END, 3) AS score, round(0.5::DOUBLE * coalesce(near, 0) + 0.5::DOUBLE * coalesce(lex, 0), 5) AS fused, dense_rank, wrong_ecosystem,
+fu AS (SELECT query_id, item_id, round(CASE WHEN wrong_ecosystem THEN round(b0 * 0.14::DOUBLE, 3) ELSE b0 END, 3) AS score, round(0.5::DOUBLE * coalesce(near, 0) + 0.5::DOUBLE * coalesce(lex, 0) + 1e-9::DOUBLE, 5) AS fused, dense_rank, wrong_ecosystem,
   coalesce(len(all_hits), 0) > 0 AND tp.item_id IS NULL AS adjective_only, exact, coalesce(bonus, 0) AS bonus FROM bx LEFT JOIN tp USING (query_id, item_id)),
 fz AS (SELECT query_id, item_id, score, fused, dense_rank, wrong_ecosystem, adjective_only, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, fused DESC, bonus DESC, item_id) AS rank FROM fu
   UNION ALL SELECT query_id, item_id, score, NULL, NULL, false, false, rank FROM scr WHERE query_id NOT IN (SELECT query_id FROM nr))"""

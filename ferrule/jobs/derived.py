@@ -19,7 +19,7 @@ ITEMS = f"""
 SELECT min(item_id) AS item_id, kind, name, min_by(about, item_id) AS about, min_by(aliases, item_id) AS aliases FROM (
   SELECT p_partkey AS item_id,
     CASE p_size % 5 WHEN 0 THEN 'skill' WHEN 1 THEN 'plugin-skill' WHEN 2 THEN 'agent' WHEN 3 THEN 'command' ELSE 'mcp' END AS kind,
-    CASE WHEN p_size % 7 = 0 THEN lower(p_type) ELSE concat(replace(p_name, ' ', '-'), CASE WHEN p_size % 3 = 0 THEN concat('-', lower(p_type)) ELSE '' END) END AS name,
+    CASE WHEN p_size = 14 THEN 'configure' WHEN p_size = 28 THEN 'review' WHEN p_size % 7 = 0 THEN lower(p_type) ELSE concat(replace(p_name, ' ', '-'), CASE WHEN p_size % 3 = 0 THEN concat('-', lower(p_type)) ELSE '' END) END AS name,
     concat(p_name, ' for ', lower(p_type), ' work with ', {_SUBJECT}) AS about,
     CASE WHEN p_size % 4 = 0 THEN 'polish motion' WHEN p_size % 4 = 1 THEN 'pipeline' ELSE '' END AS aliases
   FROM part) GROUP BY kind, name"""
@@ -30,7 +30,7 @@ SELECT min(p_partkey) AS query_id, prompt FROM (
   SELECT p_partkey, concat(
     CASE p_size % 8 WHEN 0 THEN 'use ' WHEN 1 THEN 'how do I configure ' WHEN 2 THEN '/' WHEN 3 THEN 'polish and revamp the ' WHEN 4 THEN 'make it faster: ' WHEN 5 THEN 'scroll and animate a '
       WHEN 6 THEN 'top 6 tools to fix ' ELSE 'run ' END,
-    CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '-') WHEN p_size % 3 = 1 THEN lower(p_type) ELSE p_name END,
+    CASE WHEN p_size = 16 THEN 'configure' WHEN p_size = 18 THEN 'review' WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '-') WHEN p_size % 3 = 1 THEN lower(p_type) ELSE p_name END,
     CASE WHEN p_size % 2 = 0 THEN concat(' with ', {_SUBJECT}) ELSE '' END) AS prompt
   FROM part) GROUP BY prompt"""
 

@@ -282,8 +282,8 @@ SELECT key, first, last, count, examples, served, coalesce(served AND count >= 3
     "gold_build": (gold_build, _G + " SELECT key, prompt, source, sources, array_to_string(labels, ',') AS labels, array_to_string(stale, ',') AS stale_labels, seen, label_status, len(labels) > 0 AS resolvable FROM gf"),
     "gold_stats": (gold_stats, _G + " SELECT source, label_status, count(*) AS n, sum(len(labels))::BIGINT AS n_labels FROM gf GROUP BY ROLLUP (source, label_status)"),
     "gold_verify": (gold_verify, _G + " SELECT name, count(*) AS n, name IN (SELECT name FROM nm) AS live FROM (SELECT unnest(list_concat(labels, stale)) AS name FROM gf) GROUP BY name"),
-    "lane_health": (lane_health, _L + """, b AS (SELECT lane, query_id, string_agg(item_id::VARCHAR, ' ' ORDER BY rank) AS l, count(*) AS n FROM la GROUP BY ALL), g AS (SELECT lane, count(*) AS answered, sum(n)::BIGINT AS n_rows, min(l) AS least FROM b GROUP BY lane), nq AS (SELECT count(*) AS n FROM benchmark)
-SELECT lane, answered, n - answered AS degraded, n_rows, answered = n AS healthy, left(sha1(concat_ws('|', lane, answered, n_rows, least)), 12) AS sig FROM g, nq"""),
+    "lane_health": (lane_health, _L + """, b AS (SELECT lane, query_id, string_agg(item_id::VARCHAR, ' ' ORDER BY rank) AS l, count(*) AS n FROM la GROUP BY ALL), lg AS (SELECT lane, count(*) AS answered, sum(n)::BIGINT AS n_rows, min(l) AS least FROM b GROUP BY lane), nq AS (SELECT count(*) AS n FROM benchmark)
+SELECT lane, answered, n - answered AS degraded, n_rows, answered = n AS healthy, left(sha1(concat_ws('|', lane, answered, n_rows, least)), 12) AS sig FROM lg, nq"""),
     "run_compare": (run_compare, _L + """, gold AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM benchmark b, documents d WHERE contains(d.text, b.text)), h AS (SELECT lane, query_id, min(rank) AS r FROM la JOIN gold USING (query_id, item_id) GROUP BY ALL),
 m AS (SELECT x.lane, count(*) FILTER (r <= 1) AS h1, count(*) FILTER (r <= 5) AS h5, count(*) FILTER (r <= 10) AS h10, coalesce(sum(1.0::DOUBLE / r), 0) AS rr FROM (SELECT unnest(['bm25', 'dense', 'fused']) AS lane) x LEFT JOIN h USING (lane) GROUP BY x.lane), k AS (SELECT count(DISTINCT query_id) AS n FROM gold),
 lo AS (SELECT lane, unnest(['recall_1', 'recall_5', 'recall_10', 'mrr']) AS metric, unnest([round(h1::DOUBLE / n, 4), round(h5::DOUBLE / n, 4), round(h10::DOUBLE / n, 4), round(rr / n, 4)]) AS value FROM m, k)

@@ -95,7 +95,7 @@ def fuse(lexical: DataFrame, nearest: DataFrame, items: DataFrame, queries: Data
     """(query_id, item_id, score, fused, dense_rank, wrong_ecosystem, adjective_only, rank): both lanes, all flags.
 
     ``lexical``: rows of ``score`` with rank; ``nearest``: (query_id, item_id, rank). Queries without a nearest row
-    keep their lexical rows, of any rank, as they are (fused is null there). Items that the prompt names come first.
+    keep their lexical rows, of any rank, as they are (fused is null there). Items that the prompt names come first. Half-way values round up.
     """
     alpha, w = min(max(alpha, 0.0), 1.0), Window.partitionBy("query_id")
     n, at = F.count(F.lit(1)).over(w), F.col("rank") - 1
@@ -115,7 +115,7 @@ def fuse(lexical: DataFrame, nearest: DataFrame, items: DataFrame, queries: Data
     topical = F.exists("hits", lambda h: ~h.isin([plain_norm(x) for x in V.MANNER]) & F.array_contains("identity", h))
     rows = both.select(
         "query_id", "item_id", F.round(F.when(foreign, F.round(base * FOREIGN, 3)).otherwise(base), 3).alias("score"),
-        F.round(alpha * F.coalesce("near", zero) + (1 - alpha) * F.coalesce("lex", zero), 5).alias("fused"), F.col("dense_rank").cast("long").alias("dense_rank"),
+        F.round(alpha * F.coalesce("near", zero) + (1 - alpha) * F.coalesce("lex", zero) + 1e-9, 5).alias("fused"), F.col("dense_rank").cast("long").alias("dense_rank"),
         F.coalesce(foreign, F.lit(False)).alias("wrong_ecosystem"), F.coalesce((F.size("hits") > 0) & ~topical, F.lit(False)).alias("adjective_only"),
         mentioned(F.col("prompt"), F.col("name"), F.col("bare_generic")).alias("exact"), F.coalesce("bonus", zero).alias("bonus"),
     )

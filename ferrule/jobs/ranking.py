@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import norm, raw_rows, term_counts, token_rows
+from ferrule.functions.vocab import GENERIC
 from ferrule.jobs import sqltext
 from ferrule.operators import choose, evaluate, retrieve
 from ferrule.sources.shared import stored
@@ -145,7 +146,7 @@ def spread(spark, d):
 
 
 def preferences(spark, d):
-    """Weights learnt from rankings: the labelled toxic-free document is preferred to those ranked above it."""
+    """Weights learnt from rankings: the document of good quality is preferred to those ranked above it."""
     found = topk(spark, d, 10)
     good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("item_id")).distinct()
     liked = found.join(good, "item_id").groupBy("query_id").agg(F.min("rank").alias("at")).where("at > 1")
@@ -171,12 +172,25 @@ l AS (SELECT query_id, item_id, score AS base, (score - min(score) OVER w) / CAS
 f AS (SELECT query_id, item_id, round(0.5::DOUBLE * coalesce(near, 0) + 0.5::DOUBLE * coalesce(lex, 0), 5) AS fused, round(coalesce(base, 0) + coalesce(bonus, 0), 4) AS score FROM l FULL JOIN d USING (query_id, item_id)),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, item_id) AS rank FROM f)"""
 
+_BOOST = f"""
+WITH nb AS (SELECT p_partkey AS item_id, concat_ws(' ', p_name, p_type) AS text, p_name FROM part), nq AS (SELECT DISTINCT concat_ws(' ', p_name, p_type) AS query_id FROM part),
+{sqltext.raw('nb', 'item_id', 'text')}, t AS ({sqltext.tokens('nb', 'item_id', 'text')}), nn AS (SELECT item_id, p_name AS text FROM nb), {sqltext.raw('nn', 'item_id', 'text')}, nt AS (SELECT DISTINCT * FROM ({sqltext.tokens('nn', 'item_id', 'text')})),
+{sqltext.raw('nq', 'query_id', 'query_id')}, q AS (SELECT DISTINCT * FROM ({sqltext.tokens('nq', 'query_id', 'query_id')})),
+g AS (SELECT DISTINCT {sqltext.norm('w')} AS term FROM (SELECT unnest([{sqltext.quoted(GENERIC)}]) AS w)),
+p AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), ln AS (SELECT item_id, sum(tf) AS length FROM p GROUP BY 1), dfs AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+c AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT sum(length) FROM ln) / (SELECT count(*) FROM part) AS avg_length),
+i AS (SELECT query_id, q.term, avg_length, ln(1 + (n - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) * CASE WHEN q.term IN (SELECT term FROM g) THEN 0.4::DOUBLE ELSE 1 END AS idf FROM q LEFT JOIN dfs USING (term), c),
+s AS (SELECT query_id, sum(idf) AS q_idf FROM i GROUP BY 1),
+b AS (SELECT query_id, item_id, round(sum(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.4::DOUBLE + 0.6::DOUBLE * length / avg_length)) * CASE WHEN nt.item_id IS NOT NULL THEN 2.5::DOUBLE ELSE 1 END) / greatest(any_value(q_idf), 1e-6), 4) AS score
+  FROM i JOIN p USING (term) JOIN ln USING (item_id) JOIN s USING (query_id) LEFT JOIN nt USING (item_id, term) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM b) WHERE rank <= 5"""
+
 QUERIES = {
     "token_counts": (tokens, f"WITH {sqltext.raw('documents', 'doc_id', 'text')}, t AS ({sqltext.tokens('documents', 'doc_id', 'text')}) SELECT term, count(*) AS n FROM t GROUP BY term"),
     "norm_stem": (norms, f"SELECT DISTINCT w AS word, {sqltext.norm('w')} AS norm FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part)"),
     "df_idf": (df_idf, BM + ", a AS (SELECT term, df, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * CASE WHEN term IN (SELECT term FROM g) THEN 0.4::DOUBLE ELSE 1 END AS idf FROM df, c) SELECT term, df, round(idf, 4) AS idf FROM a"),
     "bm25_topk": (topk, BM + " SELECT query_id, item_id, score, rank FROM bmr WHERE rank <= 10"),
-    "bm25_name_boost": (name_boost, None),
+    "bm25_name_boost": (name_boost, _BOOST),
     "dense_topk": (dense_topk, _DENSE + " SELECT query_id, item_id, cosine, rank FROM r WHERE rank <= 50"),
     "dense_precision": (dense_recall, _DENSE + " SELECT query_id, round(avg((label = query_id)::INT), 4) AS precision_50 FROM r WHERE rank <= 50 GROUP BY query_id"),
     "fused_topk": (fused, FUSED + " SELECT * FROM z WHERE rank <= 10"),
@@ -185,9 +199,21 @@ QUERIES = {
 y AS (SELECT *, CASE WHEN rank <= 15 AND b > 0 THEN (b - score) / b END AS drp FROM x),
 z AS (SELECT query_id, arg_max(score, (drp, -rank)) FILTER (drp IS NOT NULL) AS edge FROM y WHERE n >= 3 GROUP BY query_id HAVING max(drp) > 0.35)
 SELECT y.query_id, item_id, score, rank FROM y LEFT JOIN z USING (query_id) WHERE edge IS NULL OR score >= edge"""),
-    "select_quota": (quota, None),
+    "select_quota": (quota, BM + """, a AS (SELECT query_id, bmr.item_id, CASE WHEN lang = 'en' THEN 'main' ELSE lang END AS kind, score, rank FROM bmr JOIN documents ON doc_id = bmr.item_id WHERE rank <= 50),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, rank) AS place, min(rank) OVER (PARTITION BY query_id, kind) AS first, max((kind = 'main')::INT) OVER (PARTITION BY query_id) AS hm FROM a),
+b2 AS (SELECT *, kind <> 'main' AND place <= 2 AS inq FROM b), b3 AS (SELECT *, sum(inq::INT) OVER (PARTITION BY query_id ORDER BY first, place, rank ROWS UNBOUNDED PRECEDING) AS number FROM b2),
+b4 AS (SELECT *, CASE WHEN inq AND number <= 10 - hm THEN 0 WHEN kind = 'main' THEN 1 ELSE 2 END AS class FROM b3), b5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY class, score DESC, rank) AS slot FROM b4)
+SELECT query_id, item_id, kind, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS pick FROM b5 WHERE slot <= 10"""),
     "select_diverse": (diverse, None),
-    "ranking_metrics": (metrics, None),
+    "ranking_metrics": (metrics, BM + """, gold AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM benchmark b, documents d WHERE contains(d.text, b.text)), nl AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
+rk AS (SELECT query_id, min(rank) AS r1, sum(1 / log2(rank + 1.0::DOUBLE)) FILTER (rank <= 10) AS dcg FROM gold JOIN bmr USING (query_id, item_id) GROUP BY 1), pk AS (SELECT DISTINCT query_id FROM bmr WHERE score >= 0.5::DOUBLE),
+pq AS (SELECT item_id AS query_id, coalesce(n, 0) AS n, r1, coalesce(dcg, 0) AS dcg, list_sum(list_transform(range(1, least(coalesce(n, 1), 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS ideal, pk.query_id IS NULL AS abstained
+  FROM benchmark LEFT JOIN nl ON nl.query_id = item_id LEFT JOIN rk ON rk.query_id = item_id LEFT JOIN pk ON pk.query_id = item_id)
+SELECT round(avg(coalesce((r1 <= 1)::INT, 0)) FILTER (n > 0), 4) AS recall_1, round(avg(coalesce((r1 <= 3)::INT, 0)) FILTER (n > 0), 4) AS recall_3, round(avg(coalesce((r1 <= 5)::INT, 0)) FILTER (n > 0), 4) AS recall_5,
+  round(avg(coalesce((r1 <= 10)::INT, 0)) FILTER (n > 0), 4) AS recall_10, round(avg(coalesce(1.0::DOUBLE / r1, 0)) FILTER (n > 0), 4) AS mrr, round(avg(dcg / ideal) FILTER (n > 0), 4) AS ndcg_10,
+  round(avg(abstained::INT) FILTER (n = 0), 4) AS abstain_precision, count(*) FILTER (n > 0) AS n_positive, count(*) FILTER (n = 0) AS n_negative FROM pq"""),
     "score_spread": (spread, BM + " SELECT query_id, round(avg(score), 3) AS mean, round(stddev_pop(score), 3) AS spread, min(score) AS lo, max(score) AS hi, count(*) AS n FROM bmr WHERE rank <= 10 GROUP BY query_id"),
-    "preference_weights": (preferences, None),
+    "preference_weights": (preferences, BM + """, x AS (SELECT * FROM bmr WHERE rank <= 10), kq AS (SELECT query_id, min(rank) AS led FROM x WHERE item_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1 HAVING min(rank) > 1),
+st AS (SELECT item_id, query_id, CASE WHEN rank = led THEN 0.25::DOUBLE ELSE -0.10::DOUBLE END / (1 + log2(led::DOUBLE)) AS gain FROM x JOIN kq USING (query_id) WHERE rank <= led)
+SELECT item_id, round(list_reduce(list_concat([0.0::DOUBLE], list(gain ORDER BY query_id)), lambda a, g: greatest(0.0::DOUBLE, least(2.0::DOUBLE, a + g))), 4) AS weight, count(*) AS n FROM st GROUP BY item_id"""),
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -73,6 +74,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept by this process until another key is asked for: one large thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def words(text: Column) -> Column:
     """Words of a text; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACES_RX)

@@ -42,6 +42,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.common import kept
+
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: Pieces and states kept by a Python worker; beyond, it starts compiling anew.
@@ -266,14 +268,8 @@ class Transducer:
         return self.scan([self.state_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
 
 
-_compiled: dict[int, Transducer] = {}
-
-
 def _worker(vocabulary, key: int) -> Transducer:
-    if key not in _compiled:
-        _compiled.clear()
-        _compiled[key] = Transducer(vocabulary.value)
-    return _compiled[key]
+    return kept(("tokens", key), lambda: Transducer(vocabulary.value))
 
 
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:

@@ -47,6 +47,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.llm.common import kept
+
 #: Labelled rows that serve as examples, at most: those first in the order of a hash.
 MAX_TRAIN = 4096
 FOLDS = 3
@@ -55,8 +57,10 @@ SOFT, FLOOR = 25.0, 0.01
 BEGINNING = 5
 NEIGHBOURS, PRIOR, BLOCK = 25, 1.0, 64
 #: Share of the bound of all terms that the light ones may have together.
-LIGHT = 0.15
+LIGHT = 0.05
 THRESHOLD = 0.3
+#: Rows that are filtered at a time.
+ROWS = 1000
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -141,10 +145,15 @@ class Index:
         order = np.lexsort((owner, ids))
         self.starts = np.append(0, np.cumsum(np.bincount(ids, minlength=len(e.names))))
         self.at, self.postings = owner[order].astype(np.int32), w[order]
+        # the postings of a term within a block follow each other: the largest weight of each such run
         self.n_blocks = len(found) // BLOCK + 1
-        self.most = np.zeros((len(e.names), self.n_blocks), np.float32)
-        np.maximum.at(self.most, (ids, owner // BLOCK), np.nextafter(w.astype(np.float32), np.float32(2)))
-        self.top = self.most.max(axis=1)
+        run = ids[order].astype(np.int64) * self.n_blocks + self.at // BLOCK
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+        self.most = np.maximum.reduceat(self.postings, first) if len(first) else np.zeros(0)
+        self.most_block = (run[first] % self.n_blocks).astype(np.int32)
+        self.most_starts = np.searchsorted(first, self.starts)
+        self.top = np.zeros(len(e.names))
+        np.maximum.at(self.top, run[first] // self.n_blocks, self.most)
         self.block = np.arange(len(found)) // BLOCK
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +162,12 @@ class Index:
         norm = math.sqrt(float(raw @ raw))
         return ids, raw / norm if norm else raw
 
+    def _gains(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of all blocks, what these terms can add to a similarity at most."""
+        n = self.most_starts[ids + 1] - self.most_starts[ids]
+        at = np.repeat(self.most_starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.most_block[at], weights=np.repeat(w, n) * self.most[at], minlength=self.n_blocks)
+
     def _sums(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Of all classes, the part of the similarity that these terms make up."""
         n = self.starts[ids + 1] - self.starts[ids]
@@ -173,7 +188,7 @@ class Index:
         if heavy < len(ids):
             best = np.argpartition(-sums, min(k, len(sums)) - 1)[:k]  # every class has one example or more
             least = sums[best].min() if len(best) >= k else 0.0
-            gain = w[heavy:] @ self.most[ids[heavy:]]
+            gain = self._gains(ids[heavy:], w[heavy:])
             hit = np.flatnonzero(sums + gain[self.block] >= least - 1e-9)
             cost = int((self.row_starts[hit + 1] - self.row_starts[hit]).sum())
             if cost < int((self.starts[ids[heavy:] + 1] - self.starts[ids[heavy:]]).sum()):
@@ -215,9 +230,6 @@ def isotonic(shares: np.ndarray, labels: np.ndarray, rate: float) -> tuple[np.nd
     return x, np.maximum.accumulate(p)
 
 
-_built: dict[str, tuple[Index, dict[str, int]]] = {}
-
-
 class Model:
     """The examples and what shares of votes mean. It travels without its index, which each process builds once."""
 
@@ -227,11 +239,8 @@ class Model:
         self.steps = isotonic(shares, labels, float(examples.labels.mean())) if known else None
 
     def _parts(self) -> tuple[Index, dict[str, int]]:
-        if self.token not in _built:
-            _built.clear()
-            e = self.examples
-            _built[self.token] = Index(e, np.arange(len(e.labels))), {t: i for i, t in enumerate(e.names)}
-        return _built[self.token]
+        e = self.examples
+        return kept(("toxicity", self.token), lambda: (Index(e, np.arange(len(e.labels))), {t: i for i, t in enumerate(e.names)}))
 
     @property
     def index(self) -> Index:
@@ -289,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         return Model(None, np.zeros(0), np.zeros(0))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(examples)
-    parts = 4
+    parts, token = 4, uuid.uuid4().hex
 
     def validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = shared.value
@@ -297,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
             fold, part = task // parts, task % parts
             own = np.flatnonzero(e.folds == fold)[part::parts]
             others = np.flatnonzero(e.folds != fold)
-            index = Index(e, others)
+            index = kept(("toxicity", token, fold), lambda: Index(e, others))
             shares = [index.share(*e.row(int(k)))[0] for k in own] if len(others) else []
             yield pa.record_batch([pa.array(own[: len(shares)]), pa.array(shares, pa.float64())], ["row", "share"])
 
@@ -337,8 +346,9 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            keep = [m.score(x.as_py())[0] < THRESHOLD for x in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                yield part.filter(pa.array([m.score(x.as_py())[0] < THRESHOLD for x in part.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -10,13 +10,17 @@ leftmost of equals), so equal windows have equal anchors at equal offsets, and
 a document needs about one anchor in 85 bytes. The windows of one anchor
 occurrence are neighbours; the bytes they cover are its context.
 
+0. Where texts are read, contexts found twice among ``HELD`` occurrences are
+   settled but for one of each, so that a passage in very many texts sends few
+   rows to its anchor.
 1. Occurrences are sorted by (anchor, context hash). Contexts found twice are
    repeated in all their windows. A context found once, whose anchor has other
    contexts, stays open, and one of each of these others stands for its class.
 2. Open contexts are cut out of their texts and meet by anchor; their windows
    are compared by hash and offset. Anchors with more than ``GROUP_LIMIT`` open
-   contexts have their windows dealt out by window hash instead, so that no
-   group is ever held whole.
+   contexts have their windows dealt out by window hash instead. Windows with
+   one hash are compared in one task: what is held there grows with the number
+   of different surroundings of one 200-byte string within these anchors.
 3. Repeated windows become byte ranges, and each document is cut once.
 
 This takes the place of merging shard suffix transforms by interleave
@@ -44,6 +48,8 @@ LENGTH = 200
 SEED_BYTES = 32
 #: Open contexts of an anchor that are compared in one task.
 GROUP_LIMIT = 20_000
+#: Occurrences that a task looks through for repeated contexts before they are shuffled.
+HELD = 1 << 18
 #: Bytes scanned at a time; parts overlap by a window.
 PART = 1 << 19
 
@@ -117,19 +123,41 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+#: Of occurrences, also whether the context is known to be found twice.
 _OCCURRENCE = "anchor long, context long, row_id long, first long, last long, pos long"
 _NAMES = ["anchor", "context", "row_id", "first", "last", "pos"]
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
+    def known(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """One row of a context that these texts repeat stands for it, marked; the others are settled and go anywhere."""
+        a, c, row, first, last, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((c, a))
+        new = np.append(True, (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1]))
+        group = np.cumsum(new) - 1
+        twice = np.zeros(len(a), bool)
+        twice[order] = np.bincount(group)[group] > 1
+        spare = order[~new]
+        a = a.copy()
+        a[spare] = _mixed(row[spare].view(np.uint64) * _ODD + pos[spare].view(np.uint64))
+        return pa.record_batch([_signed(a), _signed(c), *(pa.array(x) for x in (row, first, last, pos, twice))], [*_NAMES, "twice"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 for a, c, first, last, pos in anchors(raw, length):
-                    yield pa.record_batch([_signed(a), _signed(c), pa.array(np.full(len(a), row_id)), pa.array(first), pa.array(last), pa.array(pos)], _NAMES)
+                    held.append((a, c, np.full(len(a), row_id), first, last, pos))
+                    n += len(a)
+                if n >= HELD:
+                    yield known(held)
+                    held, n = [], 0
+        if held:
+            yield known(held)
 
-    return docs.select("row_id", "text").mapInArrow(_in_batches(run), _OCCURRENCE)
+    return docs.select("row_id", "text").mapInArrow(run, _OCCURRENCE + ", twice boolean")
 
 
 def _in_batches(run):
@@ -169,7 +197,7 @@ def _sorted_out(occurrences: DataFrame) -> DataFrame:
             new_c[0] |= prior is not None and prior[1] != c[0]
             group_a, group_c = np.cumsum(new_a), np.cumsum(new_c)
             size = np.bincount(group_c, minlength=group_c[-1] + 1)
-            twice = size[group_c] > 1
+            twice = (size[group_c] > 1) | t.column(6).to_numpy(zero_copy_only=False)
             if prior is not None and not new_c[0]:
                 twice |= group_c == group_c[0]
             contexts = np.bincount(group_a[new_c], minlength=group_a[-1] + 1)
@@ -183,7 +211,7 @@ def _sorted_out(occurrences: DataFrame) -> DataFrame:
             is_open = several & (new_c | ~twice)
             keep = np.flatnonzero(twice | is_open)
             found = t.take(pa.array(keep))
-            return pa.record_batch([*found.columns, pa.array(twice[keep]), pa.array(is_open[keep])], [*_NAMES, "done", "open"])
+            return pa.record_batch([*found.columns[:6], pa.array(twice[keep]), pa.array(is_open[keep])], [*_NAMES, "done", "open"])
 
         for batch in batches:
             t = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]

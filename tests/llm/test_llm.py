@@ -334,3 +334,40 @@ def test_pipeline_keeps_columns_and_ends_in_bins(spark, tmp_path):
         assert now <= ids and len(now) > 0.5 * len(ids)
         docs, ids = after, now
     assert not [r for r in spark.read.parquet(f"{tmp_path}/3").collect() if re.search(r"[0-9]@mail[0-9]", r.text)]
+
+
+def test_empty_tables(spark, odd):
+    none = odd.where("false")
+    assert tokens.query(none, vocabulary_path()).count() == 0 and repeats.query(none).count() == 0
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [(r.conv_id, r.n_turns) for r in chat.query(spark, rows).collect()] == [(-1, 2)]
+
+
+def test_decontamination_judges_rows_without_ids_on_their_own(spark):
+    item = " ".join(f"item{k}" for k in range(20))
+    rows = frame(spark, [(1, item), (1, "clean text"), (None, f"before {item} after"), (None, "clean too")])
+    kept = decontam.clean(rows, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == rows.columns and sorted(r.text for r in kept.collect()) == ["clean text", "clean too"]
+
+
+def test_personal_data_in_groups_of_digits_and_by_found_patterns(spark):
+    seeds = [(k, f"ring us on +1 (234) 555-6{k:03d} now") for k in range(200)]
+    # strings found after the first pattern stand after another one, which no seed has met
+    hop = [(1000 + k, f"ring us on 555 123 44{k:02d} now") for k in range(20)] + [(2000 + k, f"our desk: 555 123 44{k:02d} ok") for k in range(20)]
+    got = by_id(pii.query(frame(spark, [*seeds, *hop, (300, "our desk: (555) 987-6543 ok"), (301, "lot 555 987 6543 ok")])))
+    assert all(got[1000 + k].spans == "phone:11:23" and got[1000 + k].n_phone == 0 for k in range(20))
+    assert got[300].spans == "phone:10:24" and got[301].spans == ""
+
+
+def test_masking_keeps_texts_and_rows_together(spark):
+    rows = frame(spark, [(k, f"mail u{k}@host.example or none {k}" if k % 2 else f"none {k}") for k in range(200)])
+    dealt = rows.repartition(7).withColumn("doc", F.lit("clash"))
+    got = {r.doc_id: r.text for r in pii.mask(dealt).collect()}
+    assert got == {k: f"mail [EMAIL] or none {k}" if k % 2 else f"none {k}" for k in range(200)}
+
+
+def test_archives_are_read_by_several_tasks(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "repeat('x', int(id % 50)) AS html")
+    manifest = warc.write(warc.with_revisits(pages), f"{warc.own_folder(spark, 'test')}")
+    found = warc.read(manifest, block=100)
+    assert found.count() == 3000 and found.select(F.spark_partition_id()).distinct().count() > 1

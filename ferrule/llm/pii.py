@@ -122,15 +122,8 @@ def _located(kind: str) -> Column:
     return F.coalesce(F.aggregate(around, begin, step, lambda acc: acc["found"]), F.array().cast(_NO_SPANS)).alias(kind)
 
 
-def find(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(row_id, doc_id, seeds, candidates): stored, so that row_id is fixed from here on.
-
-    seeds, the valid matches, and candidates: (kind, start, end, value, left, right). With ``whole``,
-    also doc, all columns of ``docs``.
-    """
-    # a null doc_id or a repeated one does not tell rows apart
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("doc")] if whole else []))
-    kept = ["row_id", "doc_id", *(["doc"] if whole else [])]
+def _matched(rows: DataFrame, *kept: str) -> DataFrame:
+    """(kept..., seeds, other) of rows with a text: the valid matches, and all candidates: (kind, start, end, value, left, right)."""
     # one step at a time: an expression used within a lambda would be computed for each element
     rows = rows.select(*kept, *(c for k in (*KINDS, "other") for c in _parts(F.col("text"), k)))
     rows = rows.select(*kept, *(_located(k) for k in (*KINDS, "other")))
@@ -138,9 +131,20 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
     def valid(kind: str) -> Column:
         return F.filter(F.col(kind), lambda x: _valid(x["value"], kind))
 
-    rows = rows.select(*kept, F.concat(*(valid(k) for k in KINDS)).alias("seeds"), "other")
+    return rows.select(*kept, F.concat(*map(valid, KINDS)).alias("seeds"), "other")
+
+
+def _key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(row_id, doc_id, key, seeds, candidates): stored, so that row_id is fixed from here on; key is a digest of the text."""
+    # a null doc_id or a repeated one does not tell rows apart
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _matched(rows.withColumn("key", _key(F.col("text"))), "row_id", "doc_id", "key")
     candidates = F.filter("other", lambda x: ~F.exists("seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return stored(rows.select(*kept, "seeds", candidates.alias("candidates")))
+    return stored(rows.select("row_id", "doc_id", "key", "seeds", candidates.alias("candidates")))
 
 
 def _mentions(found: DataFrame) -> DataFrame:
@@ -193,33 +197,48 @@ def confident_patterns(mentions: DataFrame, rounds: int = ROUNDS, min_confidence
     return trusted
 
 
-def spans(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS, whole: bool = False) -> DataFrame:
-    """(row_id, doc_id, base, spans): base spans, and these with what the patterns discovered, by start, then kind.
+def _ranked(x: Column) -> Column:
+    order = F.coalesce(*(F.when(x["kind"] == k, F.lit(i)) for i, k in enumerate(KINDS)))
+    return F.struct(x["start"].alias("start"), order.alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
 
-    With ``whole``, also doc, all columns of ``docs``.
-    """
-    found = find(docs, whole)
+
+_RANKED = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def _discovered(found: DataFrame, rounds: int, min_confidence: float, min_seeds: int) -> DataFrame:
+    """(row_id, more): what the trusted patterns add to each row; stored, so that its size is known."""
     mentions = stored(_mentions(found))
     trusted = confident_patterns(mentions, rounds, min_confidence, min_seeds)
     more = mentions.where("kind is null").drop("kind").join(trusted, "pattern").where(_looks_like(F.col("value"), F.col("kind")))
     best = more.groupBy("row_id", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     # spans of one row, bounded by its text
-    more = stored(best.groupBy("row_id").agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("more")))  # so that its size is known
-    rank = {k: i for i, k in enumerate(KINDS)}
+    more = best.groupBy("row_id").agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("more"))
+    return stored(more.select("row_id", F.transform("more", _ranked).alias("more")))
 
-    def ranked(x: Column) -> Column:
-        order = F.coalesce(*(F.when(x["kind"] == k, F.lit(i)) for k, i in rank.items()))
-        return F.struct(x["start"].alias("start"), order.alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
 
-    both = found.select("row_id", "doc_id", *(["doc"] if whole else []), F.sort_array(F.transform("seeds", ranked)).alias("base")).join(more, "row_id", "left")
-    added = F.coalesce(F.transform("more", ranked), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
-    return both.select("row_id", "doc_id", *(["doc"] if whole else []), "base", F.sort_array(F.concat("base", added)).alias("spans"))
+def spans(docs: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(row_id, doc_id, base, spans): base spans, and these with what the patterns discovered, by start, then kind."""
+    found = find(docs)
+    more = _discovered(found, rounds, min_confidence, min_seeds)
+    both = found.select("row_id", "doc_id", F.sort_array(F.transform("seeds", _ranked)).alias("base")).join(more, "row_id", "left")
+    return both.select("row_id", "doc_id", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_RANKED)))).alias("spans"))
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its text replaced by ``[KIND]``; overlapping spans by the first's."""
+    """``docs`` with every span of its text replaced by ``[KIND]``; overlapping spans by the first's.
+
+    Spans depend on the text alone, so what the patterns added is joined by a digest of the text: rows need no
+    numbers that hold from one reading to the next, and only texts with additions are looked up.
+    """
     names = docs.columns
-    marked = spans(docs, whole=True).select("doc", F.col("doc.text").alias("text"), F.col("spans").alias("_spans"))
+    found = find(docs)
+    more = _discovered(found, ROUNDS, MIN_CONFIDENCE, MIN_SEEDS)
+    more = stored(found.select("row_id", "key").join(more, "row_id").select("key", "more").dropDuplicates(["key"]))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*names).alias("doc"), text.alias("text"), _key(text).alias("key"))
+    rows = _matched(rows, "doc", "text", "key").select("doc", "text", "key", F.transform("seeds", _ranked).alias("base"))
+    rows = rows.withColumn("more", F.array().cast(_RANKED)) if more.isEmpty() else rows.join(more, "key", "left")
+    rows = rows.select("doc", "text", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_RANKED)))).alias("spans"))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -227,9 +246,9 @@ def mask(docs: DataFrame) -> DataFrame:
         inside = x["start"] < acc["at"]
         return F.struct(F.when(inside, acc["out"]).otherwise(before).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    done = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(done)
-    return marked.select(*(text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names))
+    done = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    masked = F.when(F.size("spans") == 0, F.col("doc.text")).otherwise(done)
+    return rows.select(*(masked.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names))
 
 
 def query(docs: DataFrame) -> DataFrame:

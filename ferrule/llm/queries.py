@@ -6,7 +6,7 @@ and derives the contract's columns from what the operator returns.
 
 from __future__ import annotations
 
-from ferrule.llm import chat, decontam, hosts, packing, pii, repeats, simhash, tokens, toxicity, warc
+from ferrule.llm import chat, codes, decontam, hosts, mixing, packing, pii, repeats, simhash, spelling, tokens, toxicity, warc
 from ferrule.llm.common import table
 
 
@@ -28,8 +28,11 @@ def queries() -> dict:
         "op8_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_host_rules": lambda spark, d: hosts.query(table(spark, d, "documents")),
         "op10_decontamination": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op11_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+        "op12_spelling": lambda spark, d: spelling.query(table(spark, d, "documents")),
+        "op13_vector_codes": lambda spark, d: codes.query(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op9_host_rules": hosts.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op9_host_rules": hosts.ORACLE, "op11_mixing": mixing.ORACLE, "op13_vector_codes": codes.ORACLE}

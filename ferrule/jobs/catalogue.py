@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions import vocab as V
@@ -17,65 +17,74 @@ from ferrule.sources.tables import table
 PROJECT = ["react", "docker", "fix"]
 
 
-def _parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items with their lookups, queries, and scored rows with ranks."""
-    raw, queries = (stored(derived.rows(spark, d, sql)) for sql in (derived.ITEMS, derived.QUERIES))
-    items, posted = C.enriched(raw)
+def index(spark, d) -> tuple[C.Index, DataFrame, DataFrame]:
+    """The catalogue with its hints and learnt weights."""
+    raw = stored(derived.rows(spark, d, derived.ITEMS))
     hints = raw.where("kind = 'mcp'").select("name", F.lit("fix the slow cache pipeline").alias("text"))
     learnt = raw.where("kind = 'skill'").groupBy("name").agg((0.6 * (F.min("item_id") % 5)).alias("weight"))
-    scored = C.score(items, posted, queries, raw.agg(F.count(F.lit(1)).alias("n")), hints, learnt, PROJECT)
-    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")))
-    return items, queries, stored(scored)
+    return C.enriched(raw), stored(hints), stored(learnt)
+
+
+def _parts(spark, d) -> tuple[C.Index, DataFrame, C.Lexical]:
+    """The catalogue, prompts, and their scores."""
+    own, hints, learnt = index(spark, d)
+    queries = stored(derived.rows(spark, d, derived.QUERIES))
+    return own, queries, C.score(own, queries, hints, learnt, PROJECT)
 
 
 def score_full(spark, d):
-    rows = _parts(spark, d)[2].where("rank <= 20")
-    return rows.select("query_id", "item_id", "score", "raw", F.array_join("hits", " ").alias("hits"), "rank")
+    own, _, lexical = _parts(spark, d)
+    rows = stored(lexical.scored.where("rank <= 20"))
+    return rows.join(C.hits(own, lexical, rows), ["query_id", "item_id"]).select("query_id", "item_id", "score", "raw", F.array_join("hits", " ").alias("hits"), "rank")
 
 
-def _fused(spark, d):
-    items, queries, scored = _parts(spark, d)
+def nearest(spark, d, own: C.Index, queries: DataFrame) -> DataFrame:
+    """The 50 items nearest to each prompt that has a vector: every seventh has none, as where the model did not answer."""
     vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = vectors.agg((F.max("vec_id") + 1).alias("n"))  # one row
-    of = lambda rows, key: rows.select(key).crossJoin(F.broadcast(n)).withColumn("vec_id", F.col(key) % F.col("n")).join(vectors, "vec_id")
-    near = retrieve.dense(of(items, "item_id").select("item_id", "vector"), of(queries.where("query_id % 7 <> 0"), "query_id").select("query_id", "vector"), 50)
-    return items, queries, C.fuse(scored, near, items, queries)
+    of = lambda rows, key: rows.select(key).crossJoin(F.broadcast(n)).withColumn("vec_id", F.col(key) % F.col("n")).join(vectors, "vec_id").select(key, "vector")
+    return retrieve.dense(of(own.items, "item_id"), of(queries.where("query_id % 7 <> 0"), "query_id"), 50)
+
+
+def _fused(spark, d):
+    own, queries, lexical = _parts(spark, d)
+    return own.items, C.fuse(own, lexical, nearest(spark, d, own, queries), queries)
 
 
 def fuse_full(spark, d):
-    """Both lanes; every seventh query has no vector, as where the model did not answer, and keeps its lexical rows."""
-    return _fused(spark, d)[2].where("rank <= 60")
+    """Both lanes; queries without a vector keep their lexical rows."""
+    return _fused(spark, d)[1].where("rank <= 60")
 
 
 def card_picks(spark, d):
-    items, _, rows = _fused(spark, d)
+    items, rows = _fused(spark, d)
     return C.select(rows.join(items.select("item_id", "kind"), "item_id")).select("query_id", "item_id", "kind", "score", "rank", "pick")
 
 
 def counted_picks(spark, d):
     """As many rows as the prompt asks for, else ten, with quotas."""
-    items, queries, scored = _parts(spark, d)
+    own, queries, lexical = _parts(spark, d)
     wanted = requested(F.col("prompt"))
     counts = queries.select("query_id", F.coalesce(wanted, F.lit(10)).alias("n"), wanted.isNotNull().alias("topup"))
-    return C.combined(scored.join(items.select("item_id", "kind"), "item_id").select("query_id", "item_id", "kind", "score", "rank"), counts)
+    return C.combined(lexical.scored.join(own.items.select("item_id", "kind"), "item_id").select("query_id", "item_id", "kind", "score", "rank"), counts)
 
 
-_KV = ", ".join(f"('{k}', '{v}')" for k, v in V.CONCEPTS.items())
-_ECO = ", ".join(f"('{name}', '{t}')" for name, ts in V.ECOSYSTEMS.items() for t in ts.split())
+_KV = ", ".join(f"('{k}', '{v}')" for k, v in sqltext.CONCEPTS.items())
+_ECO = ", ".join(f"('{name}', '{t}')" for name, ts in sqltext.ECOSYSTEMS.items() for t in ts.split())
 _SETS = f"""
 WITH RECURSIVE items AS ({derived.ITEMS}), queries AS ({derived.QUERIES}),
 txt(id, body) AS (SELECT 'i' || item_id, concat_ws(' ', name, about) FROM items UNION ALL SELECT 'n' || item_id, name FROM items
   UNION ALL SELECT 'd' || item_id, concat_ws(' ', about, aliases) FROM items UNION ALL SELECT 'q' || query_id, prompt FROM queries UNION ALL SELECT 'h', 'fix the slow cache pipeline'),
 kv(k, v) AS (VALUES {_KV}), eco0(eco, w) AS (VALUES {_ECO}), eco AS (SELECT eco, {sqltext.norm('w')} AS term FROM eco0),
-g AS (SELECT DISTINCT {sqltext.norm('w')} AS term FROM (SELECT unnest([{sqltext.quoted(V.GENERIC)}]) AS w)),
-mn AS (SELECT DISTINCT {sqltext.norm('w')} AS term FROM (SELECT unnest([{sqltext.quoted(V.MANNER)}]) AS w)),
+g AS (SELECT DISTINCT {sqltext.norm('w')} AS term FROM (SELECT unnest([{sqltext.quoted(sqltext.GENERIC)}]) AS w)),
+mn AS (SELECT DISTINCT {sqltext.norm('w')} AS term FROM (SELECT unnest([{sqltext.quoted(sqltext.MANNER)}]) AS w)),
 w AS (SELECT id, list_transform(regexp_extract_all(lower(body), '[a-z0-9][a-z0-9.+#-]{{1,24}}'), lambda x: trim(x, '.-+#')) AS ws FROM txt),
 f AS (SELECT id, ws, 1 AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS emitted FROM w WHERE len(list_intersect(ws, (SELECT list(k) FROM kv))) > 0 UNION ALL
   SELECT id, ws, i + 1, CASE WHEN list_contains(seen, ws[i]) OR ws[i] = '' THEN seen ELSE list_concat(list_append(seen, ws[i]), coalesce(string_split(v, ' '), [])) END,
     CASE WHEN list_contains(seen, ws[i]) OR v IS NULL THEN emitted ELSE list_concat(emitted, list_filter(string_split(v, ' '), lambda t: NOT list_contains(list_append(seen, ws[i]), t))) END
   FROM f LEFT JOIN kv ON k = ws[i] WHERE i <= len(ws)),
 {sqltext.raw('txt', 'id', 'body')},
-tok AS ({sqltext.tokens('txt', 'id', 'body')} UNION ALL SELECT id, {sqltext.norm('w')} AS term FROM (SELECT id, unnest(emitted) AS w FROM f WHERE i = len(ws) + 1) WHERE w NOT IN ({sqltext.quoted(V.STOP)})),
+tok AS ({sqltext.tokens('txt', 'id', 'body')} UNION ALL SELECT id, {sqltext.norm('w')} AS term FROM (SELECT id, unnest(emitted) AS w FROM f WHERE i = len(ws) + 1) WHERE w NOT IN ({sqltext.quoted(sqltext.STOP)})),
 own AS (SELECT CAST(id[2:] AS BIGINT) AS item_id, term FROM tok WHERE id[1] = 'i'),
 al AS (SELECT DISTINCT item_id, {sqltext.norm('w')} AS term FROM (SELECT item_id, unnest(string_split(aliases, ' ')) AS w FROM items) WHERE w <> ''),
 ev AS (SELECT * FROM own UNION ALL SELECT * FROM al WHERE (item_id, term) NOT IN (SELECT item_id, term FROM own)),

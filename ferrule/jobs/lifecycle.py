@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
 from ferrule.functions import vocab as V
-from ferrule.jobs import derived, ranking
+from ferrule.jobs import derived, ranking, sqltext
 from ferrule.jobs.signals import INDICATORS_SQL, PAID_SQL, guarded
 from ferrule.operators import retrieve
 from ferrule.sources.shared import stored
@@ -30,9 +30,9 @@ def _candidates(spark, d):
     )
 
 
-def _squats(rows):
-    """(owner, known, distance): different owners within two edits of a known publisher, the first in the list; the list is 16 names."""
-    names = rows.sparkSession.createDataFrame(list(enumerate(V.PUBLISHERS)), "k int, known string")
+def _squats(rows, publishers=V.PUBLISHERS):
+    """(owner, known, distance): different owners within two edits of a known publisher, the first in the list of names."""
+    names = rows.sparkSession.createDataFrame(list(enumerate(publishers)), "k int, known string")
     low = F.lower(F.btrim("owner"))
     pairs = rows.select("owner").distinct().join(F.broadcast(names), F.levenshtein(low, "known", 2).between(1, 2))
     return pairs.groupBy("owner").agg(F.min(F.struct("k", "known")).alias("m")).select("owner", F.col("m.known").alias("known"), F.levenshtein(F.lower(F.btrim("owner")), F.col("m.known")).alias("distance"))
@@ -158,9 +158,12 @@ def lane_health(spark, d):
     """For each lane: queries answered, not answered, rows, and a mark of its whole outcome."""
     n = table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n_queries"))
     g = _lanes(spark, d).groupBy("lane", "query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"].cast("string")), " ").alias("l"), F.count(F.lit(1)).alias("n"))
-    g = g.groupBy("lane").agg(F.count(F.lit(1)).alias("answered"), F.sum("n").alias("n_rows"), F.bit_xor(F.xxhash64("query_id", "l")).alias("x"), F.min("l").alias("least"))
+    # the digest of a query's list, in four parts of 40 bits whose sums do not depend on the order
+    digest = F.sha1(F.concat_ws(":", "query_id", "l"))
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 10 * k, 10), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"x{k}") for k in range(4)]
+    g = g.groupBy("lane").agg(F.count(F.lit(1)).alias("answered"), F.sum("n").alias("n_rows"), *parts)
     # one row of counts is broadcast
-    return g.crossJoin(F.broadcast(n)).select("lane", "answered", (F.col("n_queries") - F.col("answered")).alias("degraded"), "n_rows", (F.col("answered") == F.col("n_queries")).alias("healthy"), F.substring(F.sha1(F.concat_ws("|", "lane", "answered", "n_rows", "least")), 1, 12).alias("sig"))
+    return g.crossJoin(F.broadcast(n)).select("lane", "answered", (F.col("n_queries") - F.col("answered")).alias("degraded"), "n_rows", (F.col("answered") == F.col("n_queries")).alias("healthy"), F.substring(F.sha1(F.concat_ws("|", "lane", "answered", "n_rows", "x0", "x1", "x2", "x3")), 1, 12).alias("sig"))
 
 
 def run_compare(spark, d, drop=0.01):
@@ -221,7 +224,7 @@ def learnt_uses(spark, d):
 
 
 def answered_questions(spark, d):
-    """Answers matched to questions by their place in the conversation: the k-th user turn answers the k-th assistant turn. Each gives a preference with an id."""
+    """Answers matched to questions by their place in the conversation: the k-th user turn answers the k-th assistant turn. The id is that of the question."""
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
     t = t.withColumn("k", place)
@@ -252,7 +255,7 @@ cf AS (SELECT *, CASE WHEN identifier LIKE 'skills-sh/%' THEN split_part(identif
   NOT regexp_matches(listing, {PAID_SQL}, 'i') AS free, TRY_CAST(nullif(replace(regexp_extract(listing, '([\\d,]+)\\s*installs', 1, 'i'), ',', ''), '') AS BIGINT) AS installs FROM cd),
 ch AS (SELECT candidate_id, string_agg(ind.name, ',' ORDER BY k) AS signs FROM cf, ind WHERE regexp_matches(concat_ws(chr(10), listing, script), rx, 'i') GROUP BY candidate_id),
 cs AS (SELECT cf.*, coalesce(signs, '') AS signs FROM cf LEFT JOIN ch USING (candidate_id)),
-kp(k, known) AS (VALUES (0, 'anthropics'), (1, 'vercel-labs'), (2, 'vercel'), (3, 'microsoft'), (4, 'openai'), (5, 'google'), (6, 'supabase'), (7, 'prisma'), (8, 'sentry'), (9, 'remotion-dev'), (10, 'larksuite'), (11, 'obra'), (12, 'mattpocock'), (13, 'nextlevelbuilder'), (14, 'hermes'), (15, 'jitin-neutrinos')),
+kp(k, known) AS (VALUES (0, 'anthropics'), (1, 'vercel-labs'), (2, 'vercel'), (3, 'microsoft'), (4, 'openai'), (5, 'google'), (6, 'supabase'), (7, 'prisma'), (8, 'sentry'), (9, 'remotion-dev'), (10, 'larksuite'), (11, 'obra'), (12, 'mattpocock'), (13, 'nextlevelbuilder'), (14, 'hermes')),
 sq AS (SELECT owner, arg_min(known, k) AS known, levenshtein(lower(owner), arg_min(known, k)) AS distance FROM (SELECT DISTINCT owner FROM cf), kp WHERE levenshtein(lower(owner), known) BETWEEN 1 AND 2 GROUP BY owner),
 ga AS (SELECT candidate_id, identifier, name, source, installs, CASE WHEN kind <> 'skill' THEN 'kind' WHEN NOT free THEN 'not free' WHEN coalesce(installs, 0) < 1000 THEN 'few installs' END AS cheap,
   CASE WHEN script IS NULL THEN 'no body' WHEN candidate_id % 13 = 0 OR candidate_id % 11 = 0 THEN 'screen' WHEN signs <> '' THEN 'signs' WHEN known IS NOT NULL THEN 'name' END AS late FROM cs LEFT JOIN sq USING (owner))"""
@@ -265,7 +268,7 @@ gg AS (SELECT key, arg_min(prompt, ord) AS prompt, arg_min(source, ord) AS sourc
   coalesce(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL AND label NOT IN (SELECT name FROM nm))), []) AS stale, count(*) AS seen FROM gl GROUP BY key),
 gf AS (SELECT gg.*, sources, l[1:3] AS labels, CASE WHEN n_raw > 0 AND len(l) = 0 THEN 'stale' WHEN len(l) > 0 THEN 'positive' ELSE 'negative' END AS label_status FROM gg JOIN gs USING (key))"""
 _L = ranking.FUSED + """, la AS (SELECT 'bm25' AS lane, query_id, item_id, rank FROM bmr WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, item_id, rank FROM dn WHERE rank <= 10 UNION ALL SELECT 'fused', query_id, item_id, rank FROM z WHERE rank <= 10)"""
-_STOPS = ", ".join(repr(w) for w in V.INTENT_STOP)
+_STOPS = ", ".join(repr(w) for w in sqltext.INTENT_STOP)
 
 QUERIES = {
     "publisher_squats": (publisher_squats, _C + " SELECT owner, known, distance FROM sq"),
@@ -282,8 +285,9 @@ SELECT key, first, last, count, examples, served, coalesce(served AND count >= 3
     "gold_build": (gold_build, _G + " SELECT key, prompt, source, sources, array_to_string(labels, ',') AS labels, array_to_string(stale, ',') AS stale_labels, seen, label_status, len(labels) > 0 AS resolvable FROM gf"),
     "gold_stats": (gold_stats, _G + " SELECT source, label_status, count(*) AS n, sum(len(labels))::BIGINT AS n_labels FROM gf GROUP BY ROLLUP (source, label_status)"),
     "gold_verify": (gold_verify, _G + " SELECT name, count(*) AS n, name IN (SELECT name FROM nm) AS live FROM (SELECT unnest(list_concat(labels, stale)) AS name FROM gf) GROUP BY name"),
-    "lane_health": (lane_health, _L + """, b AS (SELECT lane, query_id, string_agg(item_id::VARCHAR, ' ' ORDER BY rank) AS l, count(*) AS n FROM la GROUP BY ALL), lg AS (SELECT lane, count(*) AS answered, sum(n)::BIGINT AS n_rows, min(l) AS least FROM b GROUP BY lane), nq AS (SELECT count(*) AS n FROM benchmark)
-SELECT lane, answered, n - answered AS degraded, n_rows, answered = n AS healthy, left(sha1(concat_ws('|', lane, answered, n_rows, least)), 12) AS sig FROM lg, nq"""),
+    "lane_health": (lane_health, _L + """, b AS (SELECT lane, query_id, string_agg(item_id::VARCHAR, ' ' ORDER BY rank) AS l, count(*) AS n FROM la GROUP BY ALL), sg AS (SELECT *, sha1(concat_ws(':', query_id, l)) AS h FROM b),
+lg AS (SELECT lane, count(*) AS answered, sum(n)::BIGINT AS n_rows, sum(('0x' || h[1:10])::HUGEINT) AS x0, sum(('0x' || h[11:20])::HUGEINT) AS x1, sum(('0x' || h[21:30])::HUGEINT) AS x2, sum(('0x' || h[31:40])::HUGEINT) AS x3 FROM sg GROUP BY lane), nq AS (SELECT count(*) AS n FROM benchmark)
+SELECT lane, answered, n - answered AS degraded, n_rows, answered = n AS healthy, left(sha1(concat_ws('|', lane, answered, n_rows, x0, x1, x2, x3)), 12) AS sig FROM lg, nq"""),
     "run_compare": (run_compare, _L + """, gold AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM benchmark b, documents d WHERE contains(d.text, b.text)), h AS (SELECT lane, query_id, min(rank) AS r FROM la JOIN gold USING (query_id, item_id) GROUP BY ALL),
 m AS (SELECT x.lane, count(*) FILTER (r <= 1) AS h1, count(*) FILTER (r <= 5) AS h5, count(*) FILTER (r <= 10) AS h10, coalesce(sum(1.0::DOUBLE / r), 0) AS rr FROM (SELECT unnest(['bm25', 'dense', 'fused']) AS lane) x LEFT JOIN h USING (lane) GROUP BY x.lane), k AS (SELECT count(DISTINCT query_id) AS n FROM gold),
 lo AS (SELECT lane, unnest(['recall_1', 'recall_5', 'recall_10', 'mrr']) AS metric, unnest([round(h1::DOUBLE / n, 4), round(h5::DOUBLE / n, 4), round(h10::DOUBLE / n, 4), round(rr / n, 4)]) AS value FROM m, k)

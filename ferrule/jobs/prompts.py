@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
 from ferrule.functions import vocab as V
+from ferrule.jobs import sqltext
 from ferrule.jobs.scaffold import SCAFFOLD
 from ferrule.sources.tables import table
 
@@ -78,7 +79,7 @@ def tally(spark, d):
     return _turns(spark, d).select("role", F.explode(X.flags(F.lower("text"), V.INTENTS)).alias("intent")).groupBy("role", "intent").agg(F.count(F.lit(1)).alias("n"))
 
 
-_IT = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{{2,}}')), lambda w: w NOT IN ({', '.join(repr(w) for w in V.INTENT_STOP)}))"
+_IT = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{{2,}}')), lambda w: w NOT IN ({', '.join(repr(w) for w in sqltext.INTENT_STOP)}))"
 
 _INTENTS = "WITH " + SCAFFOLD[SCAFFOLD.index("i(k, name, rx)") : SCAFFOLD.index("r(k, name, rx)")].strip().rstrip(",")
 

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import norm, raw_rows, term_counts, token_rows
-from ferrule.functions.vocab import GENERIC
 from ferrule.jobs import sqltext
-from ferrule.operators import choose, evaluate, retrieve
+from ferrule.operators import choose, evaluate, retrieve, search
 from ferrule.sources.shared import stored
 from ferrule.sources.tables import table
 
@@ -23,8 +22,8 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.bm25_over(_items(spark, d), F.col("text"), _queries(spark, d))
+def _corpus(spark: SparkSession, d: str) -> search.Corpus:
+    return search.over_texts(_items(spark, d), F.col("text"), _queries(spark, d))
 
 
 def tokens(spark, d):
@@ -46,7 +45,7 @@ def df_idf(spark, d):
 
 
 def topk(spark, d, k=10):
-    return retrieve.ranked(_bm25(spark, d), k)
+    return search.top(_corpus(spark, d), k)
 
 
 def name_boost(spark, d):
@@ -78,7 +77,7 @@ def fused(spark, d):
     """Both lanes over one set of items: vectors and documents share ids here, a pairing made for the operator alone."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     queries = table(spark, d, "benchmark").select("item_id").join(vectors, "item_id").select(F.col("item_id").alias("query_id"), "vector")
-    return retrieve.ranked(retrieve.fuse(retrieve.ranked(_bm25(spark, d), 50), retrieve.dense(vectors, queries, 50)).drop("rank"), 10, "fused")
+    return retrieve.ranked(retrieve.fuse(topk(spark, d, 50), retrieve.dense(vectors, queries, 50)).drop("rank"), 10, "fused")
 
 
 def floor_tail(spark, d):
@@ -95,10 +94,15 @@ def quota(spark, d):
 
 
 def diverse(spark, d):
-    found = topk(spark, d, 10)
+    """Of the first ten documents those that do not say the same beyond the words of the query."""
+    found = stored(topk(spark, d, 10))
     near = _items(spark, d).join(found.select("item_id").distinct(), "item_id")
-    words = token_rows(near, F.col("text"), "item_id").groupBy("item_id").agg(F.collect_set("term").alias("tokens"))
-    return choose.diversify(found.join(words, "item_id").select("query_id", "item_id", "rank", "tokens"))
+    words = token_rows(near, F.col("text"), "item_id").distinct()
+    asked = token_rows(_queries(spark, d), F.col("text"), "query_id").distinct()
+    own = found.join(words, "item_id").join(asked, ["query_id", "term"], "left_anti")
+    rest = own.groupBy("query_id", "item_id").agg(F.collect_set("term").alias("tokens"))
+    rows = found.join(rest, ["query_id", "item_id"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    return choose.diversify(rows.select("query_id", "item_id", "rank", "tokens"))
 
 
 WINDOW = 4
@@ -134,9 +138,11 @@ def _gold(spark, d):
 
 
 def metrics(spark, d):
-    ranking = stored(retrieve.ranked(_bm25(spark, d)))  # both picks and ranks come from it
-    picks = ranking.where("score >= 0.5")
-    return evaluate.scores(evaluate.per_query(_queries(spark, d), _gold(spark, d), ranking, picks))
+    """Means over all queries. Beyond the first ten ranks only a query's best gold row counts, so no ranking is made."""
+    corpus, gold = _corpus(spark, d), stored(_gold(spark, d))
+    best = stored(search.top(corpus, 10))
+    ranks = best.select("query_id", "item_id", "rank").unionByName(search.first_ranks(corpus, gold).select("query_id", "item_id", "rank")).distinct()
+    return evaluate.scores(evaluate.per_query(_queries(spark, d), gold, ranks, best.where("score >= 0.5")))
 
 
 def spread(spark, d):
@@ -176,7 +182,7 @@ _BOOST = f"""
 WITH nb AS (SELECT p_partkey AS item_id, concat_ws(' ', p_name, p_type) AS text, p_name FROM part), nq AS (SELECT DISTINCT concat_ws(' ', p_name, p_type) AS query_id FROM part),
 {sqltext.raw('nb', 'item_id', 'text')}, t AS ({sqltext.tokens('nb', 'item_id', 'text')}), nn AS (SELECT item_id, p_name AS text FROM nb), {sqltext.raw('nn', 'item_id', 'text')}, nt AS (SELECT DISTINCT * FROM ({sqltext.tokens('nn', 'item_id', 'text')})),
 {sqltext.raw('nq', 'query_id', 'query_id')}, q AS (SELECT DISTINCT * FROM ({sqltext.tokens('nq', 'query_id', 'query_id')})),
-g AS (SELECT DISTINCT {sqltext.norm('w')} AS term FROM (SELECT unnest([{sqltext.quoted(GENERIC)}]) AS w)),
+g AS (SELECT DISTINCT {sqltext.norm('w')} AS term FROM (SELECT unnest([{sqltext.quoted(sqltext.GENERIC)}]) AS w)),
 p AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), ln AS (SELECT item_id, sum(tf) AS length FROM p GROUP BY 1), dfs AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 c AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT sum(length) FROM ln) / (SELECT count(*) FROM part) AS avg_length),
 i AS (SELECT query_id, q.term, avg_length, ln(1 + (n - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) * CASE WHEN q.term IN (SELECT term FROM g) THEN 0.4::DOUBLE ELSE 1 END AS idf FROM q LEFT JOIN dfs USING (term), c),
@@ -204,7 +210,8 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DE
 b2 AS (SELECT *, kind <> 'main' AND place <= 2 AS inq FROM b), b3 AS (SELECT *, sum(inq::INT) OVER (PARTITION BY query_id ORDER BY first, place, rank ROWS UNBOUNDED PRECEDING) AS number FROM b2),
 b4 AS (SELECT *, CASE WHEN inq AND number <= 10 - hm THEN 0 WHEN kind = 'main' THEN 1 ELSE 2 END AS class FROM b3), b5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY class, score DESC, rank) AS slot FROM b4)
 SELECT query_id, item_id, kind, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS pick FROM b5 WHERE slot <= 10"""),
-    "select_diverse": (diverse, None),
+    "select_diverse": (diverse, BM + ", x AS (SELECT * FROM bmr WHERE rank <= 10), rs AS (SELECT query_id, item_id, list(DISTINCT term) AS tokens FROM x JOIN p ON p.doc_id = item_id WHERE (query_id, term) NOT IN (SELECT query_id, term FROM q) GROUP BY ALL)," + sqltext.DIVERSE.replace("@ROWS@", "SELECT query_id, item_id, rank, coalesce(tokens, []) AS tokens FROM x LEFT JOIN rs USING (query_id, item_id)")
+    + " SELECT query_id, item_id, rank FROM kept"),
     "ranking_metrics": (metrics, BM + """, gold AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM benchmark b, documents d WHERE contains(d.text, b.text)), nl AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
 rk AS (SELECT query_id, min(rank) AS r1, sum(1 / log2(rank + 1.0::DOUBLE)) FILTER (rank <= 10) AS dcg FROM gold JOIN bmr USING (query_id, item_id) GROUP BY 1), pk AS (SELECT DISTINCT query_id FROM bmr WHERE score >= 0.5::DOUBLE),
 pq AS (SELECT item_id AS query_id, coalesce(n, 0) AS n, r1, coalesce(dcg, 0) AS dcg, list_sum(list_transform(range(1, least(coalesce(n, 1), 10) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS ideal, pk.query_id IS NULL AS abstained

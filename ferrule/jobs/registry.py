@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.jobs import catalogue, choices, lifecycle, prompts, ranking, scaffold, signals, streams
+from ferrule.jobs import catalogue, choices, lifecycle, prompts, ranking, routing, scaffold, signals, stored, streams
 
-_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES | choices.QUERIES | scaffold.QUERIES | catalogue.QUERIES | lifecycle.QUERIES
+_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES | choices.QUERIES | scaffold.QUERIES | catalogue.QUERIES | lifecycle.QUERIES | stored.QUERIES | routing.QUERIES
 
 
 def queries() -> dict:

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
 from ferrule.functions import vocab as V
-from ferrule.jobs import derived
-
-
-def ecosystems(tokens: Column) -> Column:
-    """The different ecosystems that normalised tokens point to, sorted."""
-    known = {X.plain_norm(t): name for name, ts in V.ECOSYSTEMS.items() for t in ts.split()}
-    table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(tokens, lambda t: F.element_at(table, t)), lambda x: x.isNotNull())))
+from ferrule.jobs import derived, sqltext
 
 
 def requested(prompt: Column) -> Column:
@@ -24,11 +17,15 @@ def requested(prompt: Column) -> Column:
 
 
 def scaffold(spark, d):
-    """All features of a prompt. The pronoun gap looks for the letters, within words too.
+    return features(derived.rows(spark, d, derived.PROMPTS))
+
+
+def features(prompts: DataFrame) -> DataFrame:
+    """All features of prompts (prompt_id, prompt). The pronoun gap looks for the letters, within words too.
 
     Paths and constraints are given with an x for each character beyond ASCII.
     """
-    rows = derived.rows(spark, d, derived.PROMPTS).withColumn("low", F.lower("prompt"))
+    rows = prompts.withColumn("low", F.lower("prompt"))
     rows = rows.select(
         "prompt_id", "prompt", "low", X.flags(F.col("low"), V.INTENTS).alias("i"), X.flags(F.col("low"), V.RISKS).alias("r"), F.size(X.split_words(F.col("prompt"))).alias("words"),
         F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("prompt", F.lit("(?U)" + V.PATH), F.lit(0)))), 1, 12).alias("p"),
@@ -50,29 +47,12 @@ def scaffold(spark, d):
     )
 
 
-def typed_concepts(text: Column) -> Column:
-    """Concepts of what is typed, in order: a word counts once, and neither it nor its concepts come again."""
-    table = F.create_map(*(F.lit(x) for kv in V.CONCEPTS.items() for x in kv))
-    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9][a-z0-9.+#-]{1,24}"), F.lit(0)), lambda w: F.btrim(w, F.lit(".-+#")))
-    none = F.array().cast("array<string>")
-
-    def step(acc: Column, w: Column) -> Column:
-        extra = F.split(F.element_at(table, w), " ")
-        seen = F.concat(acc["seen"], F.array(w))
-        fresh = F.filter(extra, lambda t: ~F.array_contains(seen, t))
-        hit = F.struct(F.concat(seen, extra).alias("seen"), F.concat(acc["out"], fresh).alias("out"))
-        miss = F.struct(seen.alias("seen"), acc["out"].alias("out"))
-        return F.when(F.array_contains(acc["seen"], w) | (w == ""), acc).when(extra.isNull(), miss).otherwise(hit)
-
-    return F.aggregate(found, F.struct(none.alias("seen"), none.alias("out")), step, lambda acc: acc["out"])
-
-
 def concept_bridge(spark, d):
-    rows = derived.rows(spark, d, derived.PROMPTS).select("prompt_id", typed_concepts(F.col("prompt")).alias("c"))
+    rows = derived.rows(spark, d, derived.PROMPTS).select("prompt_id", X.typed_concepts(F.col("prompt")).alias("c"))
     return rows.where(F.size("c") > 0).select("prompt_id", F.array_join("c", " ").alias("concepts"))
 
 
-_CONCEPT_SQL = ", ".join(f"('{k}', '{v}')" for k, v in V.CONCEPTS.items())
+_CONCEPT_SQL = ", ".join(f"('{k}', '{v}')" for k, v in sqltext.CONCEPTS.items())
 _CONCEPTS = f"""
 WITH RECURSIVE pr AS ({derived.PROMPTS}), kv(k, v) AS (VALUES {_CONCEPT_SQL}),
 w AS (SELECT prompt_id, list_transform(regexp_extract_all(lower(prompt), '[a-z0-9][a-z0-9.+#-]{{1,24}}'), lambda x: trim(x, '.-+#')) AS ws FROM pr),

@@ -1,6 +1,16 @@
 """DuckDB SQL for the text functions, used by the expected results."""
 
-from ferrule.functions.vocab import ENDINGS, GENERIC, STOP, VARIANTS
+from ferrule.jobs import sqlvalues
+
+ENDINGS = ("ing", "ers", "ed", "es", "s")
+
+
+def listed(lines: str) -> dict[str, str]:
+    return dict(line.split(": ") for line in lines.split("\n") if line)
+
+
+STOP, GENERIC, MANNER, INTENT_STOP = sqlvalues.STOP.split(), sqlvalues.GENERIC.split(), sqlvalues.MANNER.split(), sqlvalues.INTENT_STOP.split()
+VARIANTS, ECOSYSTEMS, CONCEPTS = listed(sqlvalues.VARIANTS), listed(sqlvalues.ECOSYSTEMS), listed(sqlvalues.CONCEPTS)
 
 
 def quoted(values) -> str:
@@ -50,3 +60,11 @@ s AS (SELECT query_id, sum(idf) AS q_idf FROM i GROUP BY query_id),
 bm AS (SELECT query_id, doc_id AS item_id, round(sum(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.4::DOUBLE + 0.6::DOUBLE * length / avg_length))) / greatest(any_value(q_idf), 1e-6), 4) AS score
   FROM i JOIN p USING (term) JOIN len USING (doc_id) JOIN s USING (query_id) GROUP BY ALL),
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM bm)"""
+
+
+#: CTEs up to kept(query_id, item_id, rank, ...): greedy by rank, a row goes if its tokens overlap by 0.85 with those of a kept one; two stay.
+DIVERSE = """
+dv AS (SELECT query_id, list(struct_pack(rank := rank, item_id := item_id, tokens := tokens) ORDER BY rank) AS l FROM (@ROWS@) GROUP BY query_id),
+dk AS (SELECT query_id, l, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: len(list_intersect(y.tokens, x[1].tokens)) > 0
+  AND len(list_intersect(y.tokens, x[1].tokens)) >= 0.85::DOUBLE * len(list_distinct(list_concat(y.tokens, x[1].tokens))))) > 0 THEN a ELSE list_concat(a, x) END) AS k FROM dv),
+kept AS (SELECT query_id, unnest(CASE WHEN len(l) <= 2 THEN l WHEN len(k) < 2 THEN l[1:2] ELSE k END, recursive := true) FROM dk)"""

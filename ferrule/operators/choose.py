@@ -46,7 +46,7 @@ def quota(rows: DataFrame, each: int = 2, n: int = 10, main_kind: str = "main")
 
 
 def diversify(rows: DataFrame, most: float = 0.85, keep: int = 2) -> DataFrame:
-    """Greedy by rank: a row goes if its tokens overlap too much with a kept row's; at least ``keep`` stay.
+    """Greedy by rank: a row goes if its tokens overlap too much with a kept row's; of up to ``keep`` rows all stay, of more at least so many.
 
     ``rows``: (query_id, item_id, rank, tokens), few for each query.
     """
@@ -61,7 +61,7 @@ def diversify(rows: DataFrame, most: float = 0.85, keep: int = 2) -> DataFrame:
 
     start = F.filter("rows", lambda r: F.lit(False))
     chosen = listed.select("query_id", "rows", F.aggregate("rows", start, step).alias("kept"))
-    enough = F.when((F.size("kept") < keep) & (F.size("rows") > keep), F.slice("rows", 1, keep)).otherwise(F.col("kept"))
+    enough = F.when(F.size("rows") <= keep, F.col("rows")).when(F.size("kept") < keep, F.slice("rows", 1, keep)).otherwise(F.col("kept"))
     return chosen.select("query_id", F.inline(enough)).select("query_id", "item_id", "rank")
 
 

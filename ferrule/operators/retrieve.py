@@ -1,33 +1,23 @@
 """Ranking: postings, BM25 with name boost, cosine lane, fusion.
 
-All queries are ranked in one plan. ``bm25`` works on postings that are already
-there. ``bm25_over`` reads texts: it finds which spellings normalise to a query
-term from the vocabulary, counts only these in the texts, each beside the rest
-of its text, and so shuffles a row for each text and query term in it. The
-spellings are broadcast up to ``BROADCAST_ROWS`` of them; beyond, they are
-joined by hash. The cosine lane compares blocks of items with blocks of
-queries, a matrix product each, and keeps k of a block for each query.
+All queries are ranked in one plan. ``bm25`` scores every pair with a common
+term, for postings of small catalogues; ``search`` finds the best ones of large
+ones. The cosine lane is that of ``knn``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import norm, plain_norm, raw_rows, token_rows
+from ferrule.functions.text import plain_norm, token_rows
 from ferrule.functions.vocab import GENERIC
-from ferrule.sources.shared import stored
+from ferrule.operators import knn
 
 K1, B, NAME_BOOST, GENERIC_DAMP = 1.2, 0.6, 2.5, 0.4
 DEPTH, ALPHA, DENSE_BONUS = 50, 0.5, 0.35
 #: Spellings of query terms that may be broadcast, about 50 MB.
 BROADCAST_ROWS = 1_000_000
-#: Vectors of a block, on average.
-BLOCK = 1024
 
 
 def postings(items: DataFrame, text: Column, name: Column | None = None) -> DataFrame:
@@ -56,20 +46,6 @@ def bm25(posted: DataFrame, queries: DataFrame, n_items: DataFrame) -> DataFrame
     return _scored(q, posted, stats, lengths, n_items)
 
 
-def bm25_over(items: DataFrame, text: Column, queries: DataFrame) -> DataFrame:
-    """``bm25`` from the texts of ``items`` (item_id, ...), without an index of them."""
-    q = stored(token_rows(queries, F.col("text"), "query_id").distinct())
-    raw = raw_rows(items, text, "item_id")
-    spelt = raw.select("_w").distinct().withColumn("term", norm("_w")).join(q.select("term").distinct(), "term", "left_semi")
-    spelt = stored(spelt)
-    near = F.broadcast(spelt) if spelt.count() <= BROADCAST_ROWS else spelt
-    # the null term holds what else is in a text
-    counts = stored(raw.join(near, "_w", "left").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    posted = counts.where("term is not null").withColumn("in_name", F.lit(False))
-    stats = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return _scored(q, posted, stats, counts.groupBy("item_id").agg(F.sum("tf").alias("length")), items.agg(F.count(F.lit(1)).alias("n")))
-
-
 def _scored(q: DataFrame, posted: DataFrame, stats: DataFrame, lengths: DataFrame, n_items: DataFrame) -> DataFrame:
     corpus = lengths.agg(F.sum("length").alias("total")).crossJoin(n_items).select("n", (F.col("total") / F.col("n")).alias("avg_length"))
     terms = q.join(stats, "term", "left").crossJoin(F.broadcast(corpus))  # one row
@@ -94,39 +70,9 @@ def unit(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
 
 
-def _blocks(vectors: DataFrame, key: str, of: str, size: int) -> DataFrame:
-    """(ids, values): blocks of about ``size`` vectors, dealt by a hash of their ids."""
-    n = max(1, -(-vectors.count() // size))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(of, lambda x: x.cast("double")).alias("v"))
-    rows = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    return rows.select(F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("values"))
-
-
-def dense(vectors: DataFrame, queries: DataFrame, k: int = DEPTH, size: int = BLOCK) -> DataFrame:
-    """(query_id, item_id, cosine, rank): the k nearest items of each query vector, ties by item_id.
-
-    Every block of items meets every block of queries once, and only k rows of a block go on for each query.
-    Vectors are of one length; a zero vector has the cosine 0.
-    """
-    items = _blocks(vectors, "item_id", "vector", size).select(F.col("ids").alias("item_ids"), F.col("values").alias("item_values"))
-    both = items.crossJoin(_blocks(queries, "query_id", "vector", size))
-
-    def unit_rows(n: int, values: pa.Array) -> np.ndarray:
-        m = values.to_numpy(zero_copy_only=False).reshape(n, -1)
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return m / np.where(norm > 0, norm, 1.0)
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item_ids, item_values, ids, values in zip(*(batch.column(c) for c in range(4))):
-                item_ids, ids = (x.values.to_numpy(zero_copy_only=False) for x in (item_ids, ids))
-                cosine = np.round(unit_rows(len(ids), values.values) @ unit_rows(len(item_ids), item_values.values).T, 4)
-                order = np.lexsort((np.broadcast_to(item_ids, cosine.shape), -cosine), axis=1)[:, :k]
-                found = np.take_along_axis(cosine, order, 1)
-                yield pa.record_batch([pa.array(np.repeat(ids, order.shape[1])), pa.array(item_ids[order].ravel()), pa.array(found.ravel())], ["query_id", "item_id", "cosine"])
-
-    found = both.select("item_ids", "item_values", "ids", "values").mapInArrow(multiply, "query_id long, item_id long, cosine double")
-    return ranked(found, k, "cosine")
+def dense(vectors: DataFrame, queries: DataFrame, k: int = DEPTH) -> DataFrame:
+    """(query_id, item_id, cosine, rank): the k nearest items (item_id, vector) of each query (query_id, vector), ties by item_id."""
+    return knn.nearest(vectors, queries, k)[0]
 
 
 def fuse(lexical: DataFrame, nearest: DataFrame, alpha: float = ALPHA) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Permitted sequence lengths, in the unit of the length column (bytes of UTF-8 unless given otherwise).
 CAPACITIES = (1024, 2048, 4096, 8192)
 OVERHEAD, QUADRATIC = 64, 65536
-#: Documents of a shard, on average.
+#: Pieces of a shard, on average.
 SHARD = 4096
 
 SCHEMA = "bin_id long, capacity long, used long, bin_start long, doc_id long, piece long, piece_start long, length long"
@@ -109,18 +109,27 @@ def _pack(capacities: tuple[int, ...]) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Column | None = None, shard: int = SHARD, n_docs: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: Column | None = None, shard: int = SHARD) -> DataFrame:
     """One row per piece: its bin, the bin's final capacity, and where the piece stands in it.
 
-    ``n_docs``: the number of rows, where the caller knows it. Equal rows are dealt to shards one by one.
+    Shards have about as many pieces each, however long the documents are. Equal rows are dealt to shards one by one.
     """
     size = F.octet_length(F.coalesce("text", F.lit(""))) if length is None else length
     most = max(capacities)
-    shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard))  # from the files' footers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), F.monotonically_increasing_id().alias("row")).where("size > 0")
+    n = rows.agg(F.sum(F.ceil(F.col("size") / most)).alias("n")).first()["n"] or 0
+    shards = max(1, -(-n // shard))
     starts = rows.select("doc_id", "size", "row", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(most).cast("long"))).alias("piece", "piece_start"))
     pieces = starts.select(
         "doc_id", F.col("piece").cast("long").alias("piece"), "piece_start", F.least(F.lit(most), F.col("size") - F.col("piece_start")).cast("long").alias("length"),
         F.pmod(F.xxhash64("doc_id", "piece", "size", "row"), F.lit(shards)).alias("shard"),
     )
     return pieces.groupBy("shard").applyInArrow(_pack(tuple(capacities)), SCHEMA)
+
+
+def fill(bins: DataFrame) -> DataFrame:
+    """One row on a packing: bins, units used, padded share, and the padded share that bins of the largest capacity alone would have at best."""
+    each = bins.groupBy("bin_id").agg(F.first("capacity").alias("capacity"), F.first("used").alias("used"))
+    whole = each.agg(F.count(F.lit(1)).alias("bins"), F.coalesce(F.sum("used"), F.lit(0)).alias("used"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("held"), F.max("capacity").alias("most"))
+    least = F.ceil(F.col("used") / F.col("most")) * F.col("most")
+    return whole.select("bins", "used", "held", F.round(1 - F.try_divide("used", "held"), 6).alias("padded"), F.round(1 - F.try_divide(F.col("used"), least), 6).alias("padded_at_best"))

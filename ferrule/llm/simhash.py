@@ -57,25 +57,38 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _GOLAY = 0b110001110101
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one text as an unsigned integer."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of a text, in order, repeats included; none for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(found)
     ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
     starts = np.append(0, ends[:-1] + 1)
     n = max(1, len(found) - shingle + 1)
     ends = ends[shingle - 1 :] if len(found) >= shingle else ends[-1:]
-    count = np.zeros(64, np.int64)
+    out = np.empty(n, np.uint64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         a, b = starts[at : min(n, at + BLOCK)].tolist(), ends[at : at + BLOCK].tolist()
-        h = np.array([digest(line[i:j], SEED) for i, j in zip(a, b)], np.uint64)
-        per_byte = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+        out[at : at + BLOCK] = [digest(line[i:j], SEED) for i, j in zip(a, b)]
+    return out
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned integer."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(h), BLOCK):
+        per_byte = h[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         for k in range(8):
             count[8 * k : 8 * k + 8] += np.bincount(per_byte[:, k], minlength=256) @ _BITS
-    return int(((count * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+    return int(((count * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text as an unsigned integer."""
+    h = hashes(text, shingle)
+    return majority(h) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -244,7 +257,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Rows without a doc_id stay. Of repeated rows with one doc_id one stays.
     """
-    found = stored(near_duplicates(docs, shingle).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return kept_of(docs, near_duplicates(docs, shingle))
+
+
+def kept_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose group (doc_id, component_id) has a smaller doc_id."""
+    found = stored(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
     gone = found.where("component_id <> doc_id").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = found.where("component_id = doc_id and n > 1").select("doc_id")

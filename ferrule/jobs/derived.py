@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrule.sources.tables import table
+from ferrule.sources.tables import table, texts
 
 _SUBJECT = """CASE p_partkey % 12 WHEN 0 THEN 'pytest and flask' WHEN 1 THEN 'react hooks' WHEN 2 THEN 'a postgres migration'
   WHEN 3 THEN 'elixir phoenix' WHEN 4 THEN 'a rust crate' WHEN 5 THEN 'mongodb atlas' WHEN 6 THEN 'docker compose' WHEN 7 THEN 'svg animation'
@@ -65,4 +65,4 @@ def rows(spark: SparkSession, d: str, sql: str) -> DataFrame:
     names = [t for t in ("part", "conversations", "documents", "events", "benchmark", "pages", "labels", "embeddings") if f"FROM {t}" in sql or f"JOIN {t}" in sql]
     for name in names:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
-    return spark.sql(sql, **{name: table(spark, d, name) for name in names})
+    return spark.sql(sql, **{name: (texts if name in ("documents", "pages") else table)(spark, d, name) for name in names})

@@ -9,11 +9,11 @@ from ferrule.functions import text as X
 from ferrule.functions import vocab as V
 from ferrule.jobs import sqltext
 from ferrule.jobs.scaffold import SCAFFOLD
-from ferrule.sources.tables import table
+from ferrule.sources.tables import table, texts
 
 
 def _turns(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    return texts(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def skip_reason(text, source):
@@ -67,7 +67,7 @@ def similar_intents(spark, d, least=0.6):
 
 def duplicates(spark, d):
     """Documents grouped by normalised text: the first, how many, their labels."""
-    docs = table(spark, d, "documents").select("doc_id", "source", X.norm_key(F.col("text")).alias("key"))
+    docs = texts(spark, d, "documents").select("doc_id", "source", X.norm_key(F.col("text")).alias("key"))
     marks = table(spark, d, "labels").select("doc_id", "quality")
     rows = docs.join(marks, "doc_id", "left").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("quality")).alias("q"), F.min_by("source", "doc_id").alias("source"))

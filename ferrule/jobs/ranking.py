@@ -11,11 +11,11 @@ from ferrule.functions.text import norm, raw_rows, term_counts, token_rows
 from ferrule.jobs import sqltext
 from ferrule.operators import choose, evaluate, retrieve, search
 from ferrule.sources.shared import stored
-from ferrule.sources.tables import table
+from ferrule.sources.tables import table, texts
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return texts(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _corpus(spark: SparkSession, d: str) -> search.Corpus:
 
 
 def tokens(spark, d):
-    return term_counts(table(spark, d, "documents"), F.col("text"))
+    return term_counts(texts(spark, d, "documents"), F.col("text"))
 
 
 def norms(spark, d):
@@ -89,7 +89,7 @@ def cliff(spark, d):
 
 
 def quota(spark, d):
-    kinds = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("lang") == "en", "main").otherwise(F.col("lang")).alias("kind"))
+    kinds = texts(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("lang") == "en", "main").otherwise(F.col("lang")).alias("kind"))
     return choose.quota(topk(spark, d, 50).join(kinds, "item_id")).select("query_id", "item_id", "kind", "score", "pick")
 
 

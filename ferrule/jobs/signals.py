@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
 from ferrule.functions import vocab as V
-from ferrule.sources.tables import first_wins, table
+from ferrule.sources.tables import first_wins, table, texts
 
 WINDOW = 6 * 3600
 
@@ -86,7 +86,7 @@ def guarded(text):
 
 def indicators(spark, d):
     """Signs of harm in every document."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", F.array_join(guarded(F.col("text")), ",").alias("signs"), F.col("text").rlike(f"(?U){V.PAID}").alias("paid"))
 
 
@@ -94,7 +94,7 @@ def page_bodies(spark, d):
     """First 120 words of a page without comments, scripts, fences and marks."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", " "), r"(?s)```.*?```", " ")
     found = F.regexp_extract_all(F.regexp_replace(t, r"[#*_`>|]", " "), F.lit(r"[A-Za-z][A-Za-z0-9+#._-]*"), F.lit(0))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.slice(found, 1, 120), " ").alias("body"))
+    return texts(spark, d, "pages").select("page_id", F.array_join(F.slice(found, 1, 120), " ").alias("body"))
 
 
 def hashes(spark, d):
@@ -110,9 +110,9 @@ def first_items(spark, d):
 
 def work_list(spark, d):
     """Vectors that must be computed anew: documents whose content hash no vector has."""
-    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")).join(table(spark, d, "documents"), "doc_id")
+    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")).join(texts(spark, d, "documents"), "doc_id")
     have = have.select(X.item_hash(F.col("text")).alias("hash")).distinct()
-    docs = table(spark, d, "documents").select("doc_id", X.item_hash(F.col("text")).alias("hash"))
+    docs = texts(spark, d, "documents").select("doc_id", X.item_hash(F.col("text")).alias("hash"))
     return docs.join(have, "hash", "left_anti").select("doc_id", "hash")
 
 
@@ -127,7 +127,7 @@ def profiles(spark, d):
 
 
 def kinds(spark, d):
-    return table(spark, d, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, d, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def props(spark, d):

@@ -12,8 +12,9 @@ can still add. With a threshold, a score that the wanted rows reach:
 * the sums over open terms, plus the bound of the others, leave few pairs,
   whose other terms are then looked up by item.
 
-The threshold of a top k is the k-th best sum over the rarest terms, which reads
-few postings, and then the k-th best sum over the open terms. All of it is
+The threshold of a top k is the k-th best score of the items with the best sums
+over the rarest terms, which reads few postings, and then the k-th best sum over
+the open terms. All of it is
 joins and groupings of stored tables; no query and no term is gathered. Results
 are those of the full ranking, ties included: scores are compared with a slack
 for their rounding.
@@ -35,6 +36,8 @@ from ferrule.sources.shared import stored
 BLOCKS = 2
 #: Postings of a query's rarest terms that give the first threshold.
 SEEDS = 1000
+#: Terms stay open below the threshold, down to this share of it: more postings are read, and fewer pairs are left.
+OPEN = 0.5
 #: Scores are rounded to four places of the share of a perfect match.
 SLACK = 1.01e-4
 
@@ -72,7 +75,7 @@ def over_texts(items: DataFrame, text: Column, queries: DataFrame) -> Corpus:
 
 def corpus(asked: DataFrame, posted: DataFrame, lengths: DataFrame, n_items: DataFrame) -> Corpus:
     """From query terms (query_id, term), postings (item_id, term, tf, in_name), (item_id, length) and one row (n)."""
-    size = stored(lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total")).crossJoin(n_items).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avg_length")))
+    size = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total")).crossJoin(n_items).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avg_length"))
     f = F.col("tf")
     part = f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))) * F.when(F.col("in_name"), NAME_BOOST).otherwise(1.0)
     rows = posted.join(lengths, "item_id").crossJoin(F.broadcast(size.select("avg_length")))  # one row
@@ -85,11 +88,11 @@ def corpus(asked: DataFrame, posted: DataFrame, lengths: DataFrame, n_items: Dat
 
 
 def bounds(c: Corpus) -> DataFrame:
-    """(query_id, block, term, idf, n, bound, after), stored: the most a term adds in a block, and the terms of lesser bound after it together."""
+    """(query_id, block, term, idf, n, bound, after): the most a term adds in a block, and the terms of lesser bound after it together."""
     most = c.posted.groupBy("term", "block").agg(F.max("part").alias("most"), F.count(F.lit(1)).alias("n"))
     rows = c.terms.join(most, "term").select("query_id", "block", "term", "idf", "n", (F.col("idf") * F.col("most")).alias("bound"))
     later = Window.partitionBy("query_id", "block").orderBy(F.desc("bound"), "term").rowsBetween(1, Window.unboundedFollowing)
-    return stored(rows.withColumn("after", F.coalesce(F.sum("bound").over(later), F.lit(0.0))))
+    return rows.withColumn("after", F.coalesce(F.sum("bound").over(later), F.lit(0.0)))
 
 
 def seeds(c: Corpus, k: int) -> DataFrame:
@@ -97,7 +100,13 @@ def seeds(c: Corpus, k: int) -> DataFrame:
     before = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     rare = c.terms.withColumn("before", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("before") < max(SEEDS, 4 * k))
     sums = rare.join(c.posted, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("idf") * F.col("part")).alias("sum"))
-    return _kth(sums, k)
+    # the whole scores of a few good items
+    return _kth(_raw(c, ranked(sums, 2 * k, "sum").select("query_id", "item_id")).withColumnRenamed("raw", "sum"), k)
+
+
+def _raw(c: Corpus, pairs: DataFrame) -> DataFrame:
+    rows = pairs.join(c.terms, "query_id").join(c.posted.select("item_id", "term", "part"), ["item_id", "term"])
+    return rows.groupBy("query_id", "item_id").agg(F.sum(F.col("idf") * F.col("part")).alias("raw"))
 
 
 def _kth(sums: DataFrame, k: int) -> DataFrame:
@@ -108,7 +117,7 @@ def _kth(sums: DataFrame, k: int) -> DataFrame:
 def opened(c: Corpus, held: DataFrame, least: DataFrame) -> DataFrame:
     """The rows of ``bounds`` with ``open`` and ``enough``, the score to reach less the slack."""
     aim = c.totals.join(least, "query_id", "left").select("query_id", (F.coalesce("least", F.lit(0.0)) - SLACK * F.col("q_idf")).alias("enough"))
-    return held.join(aim, "query_id").withColumn("open", F.col("bound") + F.col("after") >= F.col("enough"))
+    return held.join(aim, "query_id").withColumn("open", F.col("bound") + F.col("after") >= OPEN * F.col("enough"))
 
 
 def at_least(c: Corpus, least: DataFrame, k: int | None = None) -> DataFrame:
@@ -143,8 +152,7 @@ def top(c: Corpus, k: int) -> DataFrame:
 
 def of_pairs(c: Corpus, pairs: DataFrame) -> DataFrame:
     """(query_id, item_id, score) of given pairs (query_id, item_id); those without a common term are not there."""
-    rows = pairs.join(c.terms, "query_id").join(c.posted.select("item_id", "term", "part"), ["item_id", "term"])
-    raw = rows.groupBy("query_id", "item_id").agg(F.sum(F.col("idf") * F.col("part")).alias("raw")).join(c.totals, "query_id")
+    raw = _raw(c, pairs).join(c.totals, "query_id")
     return raw.select("query_id", "item_id", F.round(F.col("raw") / F.col("q_idf"), 4).alias("score"))
 
 

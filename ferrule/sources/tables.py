@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on, dealt out evenly if its files give fewer tasks than there are cores.
+
+    A Parquet file of one row group is one task, however large. An input of many files stays as it is read.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents_in(spark: SparkSession, folder: str, pattern: str = "*.md", head: int = 8000) -> DataFrame:
     """(path, head): the beginning of every file under a folder."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)

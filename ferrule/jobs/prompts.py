@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
 from ferrule.functions import vocab as V
-from ferrule.jobs import sqltext
+from ferrule.jobs import derived, sqltext
 from ferrule.jobs.scaffold import SCAFFOLD
+from ferrule.operators import similar
 from ferrule.sources.tables import table, texts
 
 
@@ -48,26 +49,14 @@ def answered(spark, d):
 
 
 def similar_intents(spark, d, least=0.6):
-    """User turns with another user turn of at least that token overlap: the best, the first of equals.
-
-    Pairs come from shared tokens held by few turns (a pair above the bound shares a rare token or has
-    only common ones, so the prefix of each turn's tokens in order of rarity is enough).
-    """
-    rows = _turns(spark, d).where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), X.intent_tokens(F.col("text")).alias("t"))
-    rows = rows.withColumn("n", F.size("t"))
-    long = rows.select("id", "n", F.explode("t").alias("w"))
-    rare = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    prefix = long.join(long.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w").withColumn("at", rare).where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
-    prefix = prefix.select("w", "id")
-    pairs = prefix.alias("a").join(prefix.alias("b"), "w").where("a.id <> b.id").select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    both = pairs.join(rows.select("id", F.col("t").alias("ta")), "id").join(rows.select(F.col("id").alias("other"), F.col("t").alias("tb")), "other")
-    both = both.withColumn("overlap", F.round(X.jaccard(F.col("ta"), F.col("tb")), 4)).where(F.col("overlap") >= least)
-    return both.groupBy("id").agg(F.min(F.struct(-F.col("overlap"), F.col("other"))).alias("m")).select("id", F.col("m.other").alias("other"), (-F.col("m.col1")).alias("overlap"))
+    """Prompts with another prompt of at least that token overlap: the best, the first of equals."""
+    rows = derived.rows(spark, d, derived.PROMPTS).select(F.col("prompt_id").alias("id"), X.intent_tokens(F.col("prompt")).alias("t"))
+    return similar.best(rows, least)
 
 
 def duplicates(spark, d):
     """Documents grouped by normalised text: the first, how many, their labels."""
-    docs = texts(spark, d, "documents").select("doc_id", "source", X.norm_key(F.col("text")).alias("key"))
+    docs = texts(spark, d, "documents").select("doc_id", "source", F.sha2(X.norm_key(F.col("text")), 256).alias("key"))
     marks = table(spark, d, "labels").select("doc_id", "quality")
     rows = docs.join(marks, "doc_id", "left").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("quality")).alias("q"), F.min_by("source", "doc_id").alias("source"))
@@ -87,7 +76,7 @@ QUERIES = {
     "prompt_admission": (admission, "WITH f AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM conversations), a AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS p FROM f), b AS (SELECT *, CASE WHEN role IN ('system', 'loop_wakeup', 'schedule_wakeup', 'poll_event') THEN 'source=' || role WHEN p = '' THEN 'empty' WHEN regexp_matches(p, '^[*#]') THEN 'bypass prefix' WHEN " + " OR ".join(f"contains(p, '{m}')" for m in ("<system-reminder>", "<local-command-stdout>", "<command-name>", "<task-notification>", "[SYSTEM NOTIFICATION", "This session is being continued from", "Caveat: The messages below were generated by the user while running")) + " THEN 'machine-generated content' WHEN starts_with(p, '/') AND len(w) < 4 THEN 'slash command' END AS reason FROM a) SELECT conv_id, turn, reason, reason IS NULL AND length(text) BETWEEN 12 AND 1500 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) >= greatest(4, len(w) // 8) AS usable FROM b"),
     "prompt_keys": (keys, f"WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), k AS (SELECT *, list_sort({_IT}) AS s FROM t) SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '<[^>]+>', ' ', 'g'), '^[ \\t\\n\\r]*[*#]+[ \\t\\n\\r]*', ''), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS clean, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS key, CASE WHEN len(s) > 24 THEN 'intent:' || left(sha1(array_to_string(s, ' ')), 16) || ' (' || len(s) || ' tokens)' ELSE array_to_string(s, ' ') END AS intent FROM k"),
     "answered_prompts": (answered, "WITH t AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prompt_turn FROM conversations) SELECT conv_id, prompt_turn, min(turn) AS turn FROM t WHERE role = 'assistant' AND prompt_turn IS NOT NULL GROUP BY ALL"),
-    "similar_intents": (similar_intents, f"WITH u AS (SELECT conv_id || ':' || turn AS id, {_IT} AS t FROM conversations WHERE role = 'user'), w AS (SELECT id, len(t) AS n, unnest(t) AS w FROM u), p AS (SELECT a.id, b.id AS other, round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 4) AS overlap FROM w a JOIN w b ON a.w = b.w AND a.id <> b.id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS k FROM p WHERE overlap >= 0.6::DOUBLE) SELECT id, other, overlap FROM r WHERE k = 1"),
+    "similar_intents": (similar_intents, f"WITH pr AS ({derived.PROMPTS}), u AS (SELECT prompt_id AS id, {_IT.replace('lower(text)', 'lower(prompt)')} AS t FROM pr), w AS (SELECT id, len(t) AS n, unnest(t) AS w FROM u), p AS (SELECT a.id, b.id AS other, round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 4) AS overlap FROM w a JOIN w b ON a.w = b.w AND a.id <> b.id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS k FROM p WHERE overlap >= 0.6::DOUBLE) SELECT id, other, overlap FROM r WHERE k = 1"),
     "duplicate_documents": (duplicates, "WITH k AS (SELECT doc_id, source, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' ') AS key, quality FROM documents LEFT JOIN labels USING (doc_id)) SELECT min(doc_id) AS first_id, count(*) AS n, coalesce(string_agg(DISTINCT quality::VARCHAR, ',' ORDER BY quality::VARCHAR), '') AS labels, arg_min(source, doc_id) AS source FROM k GROUP BY key"),
     "intent_tally": (tally, _INTENTS + " SELECT role, name AS intent, count(*) AS n FROM (SELECT role, regexp_replace(lower(coalesce(text, '')), '[^\\x00-\\x7F]', 'x', 'g') AS t FROM conversations), i WHERE regexp_matches(t, rx) GROUP BY ALL"),
 }

@@ -156,6 +156,17 @@ h AS (SELECT doc_id, string_agg(name, ',' ORDER BY k) AS signs FROM d, ind WHERE
 SELECT doc_id, coalesce(signs, '') AS signs, regexp_matches(t, {PAID_SQL}, 'i') AS paid FROM d LEFT JOIN h USING (doc_id)"""
 
 
+# a user's events folded in order: views are put on a stack, a purchase takes the top
+_OPEN = "list_filter(acc.s, lambda v: x.a - v.a <= 21600)"
+_FOLD = f"""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS k, epoch_us(ts) // 1000000 AS a FROM events WHERE event_type IN ('view', 'purchase')),
+l AS (SELECT user_id, list(struct_pack(s := []::STRUCT(a BIGINT, i BIGINT)[], p := []::STRUCT(buy BIGINT, view BIGINT, seconds BIGINT)[], a := a, k := k, i := event_id) ORDER BY a, k, event_id) AS l FROM e GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(list_prepend(struct_pack(s := []::STRUCT(a BIGINT, i BIGINT)[], p := []::STRUCT(buy BIGINT, view BIGINT, seconds BIGINT)[], a := 0::BIGINT, k := 0, i := 0::BIGINT), l),
+  lambda acc, x: CASE WHEN x.k = 0 THEN struct_pack(s := list_append({_OPEN}, struct_pack(a := x.a, i := x.i)), p := acc.p, a := x.a, k := x.k, i := x.i)
+    WHEN len({_OPEN}) = 0 THEN struct_pack(s := {_OPEN}, p := acc.p, a := x.a, k := x.k, i := x.i)
+    ELSE struct_pack(s := {_OPEN}[:-2], p := list_append(acc.p, struct_pack(buy := x.i, view := {_OPEN}[-1].i, seconds := x.a - {_OPEN}[-1].a)), a := x.a, k := x.k, i := x.i) END) AS r FROM l)
+SELECT user_id, unnest(r.p, recursive := true) FROM r"""
+
+
 def _hash(*c):
     return "left(sha1(" + " || '|' || ".join(f"coalesce({x}, '')" for x in c) + "), 16)"
 
@@ -163,7 +174,7 @@ def _hash(*c):
 QUERIES = {
     "interval_pairs": (interval_pairs, _E + " SELECT v.event_id AS view_id, b.event_id AS buy_id, b.at0 - v.at0 AS seconds FROM e v JOIN e b USING (user_id) WHERE v.event_type = 'view' AND b.event_type = 'purchase' AND b.at0 - v.at0 >= 0 AND b.at0 - v.at0 < 21600"),
     "asof_view": (asof_view, _E + " SELECT event_id, view_id, seconds FROM (SELECT b.event_id, v.event_id AS view_id, b.at0 - v.at0 AS seconds, row_number() OVER (PARTITION BY b.event_id ORDER BY v.at0 DESC, v.event_id DESC) AS k FROM e b JOIN e v USING (user_id) WHERE v.event_type = 'view' AND b.event_type = 'purchase' AND v.at0 <= b.at0) WHERE k = 1 AND seconds <= 21600"),
-    "one_to_one_pairs": (one_to_one, None),
+    "one_to_one_pairs": (one_to_one, _FOLD),
     "adoption_ratio": (ratio, _E + ", g AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS buys FROM e GROUP BY user_id), r AS (SELECT *, CASE WHEN views >= 3 THEN round(buys::DOUBLE / views, 4) END AS ratio FROM g) SELECT user_id, views, buys, ratio, ratio < 0.75 AS below FROM r"),
     "event_retention": (retention, _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at0 DESC, event_id DESC) AS k, max(at0) OVER (PARTITION BY user_id) AS m FROM e) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 5) AS last_five, count(*) FILTER (m - at0 <= 3600) AS recent FROM r GROUP BY user_id"),
     "harm_indicators": (indicators, _IND),

@@ -7,11 +7,11 @@ user_id, event_type and ``time``; ``drain`` runs one to its end.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ferrule.sources.shared import new_folder
 
@@ -53,39 +53,98 @@ def once(events: DataFrame, key: str = "event_id", within: str = "90 seconds") -
     return events.withWatermark("time", within).dropDuplicatesWithinWatermark([key])
 
 
-def _pairing(seconds: int) -> Callable:
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["at", "kind", "event_id"])
-        pairs = []
-        for at, kind, event in zip(rows["at"].tolist(), rows["kind"].tolist(), rows["event_id"].tolist()):
-            opened = [v for v in opened if at - v[0] <= seconds]
+#: Seconds of a slot, and how many rows of a user a task holds before they go to the state.
+SLOT, HELD = 3600, 20_000
+_ROWS = "rows array<struct<at:bigint,kind:int,event:bigint>>"
+
+
+class Pairing(StatefulProcessor):
+    """One-to-one pairing of a user's purchases with the views before them.
+
+    The state is the list of views still open, which the interval bounds, and a timer drops it by event time. Rows of
+    a batch that are more than a task should hold go to a map of time slots in the state first; slots are then
+    taken in order, one at a time.
+    """
+
+    def __init__(self, seconds: int, held: int = HELD) -> None:
+        self.seconds, self.held = seconds, held
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.opened = handle.getListState("opened", "at bigint, event bigint")
+        self.slots = handle.getMapState("slots", "slot bigint", _ROWS)
+
+    def _put(self, rows: list[tuple[int, int, int]]) -> None:
+        by_slot: dict[int, list] = {}
+        for row in rows:
+            by_slot.setdefault(row[0] // SLOT, []).append(row)
+        for slot, more in by_slot.items():
+            old = [tuple(r) for r in self.slots.getValue((slot,))[0]] if self.slots.containsKey((slot,)) else []
+            self.slots.updateValue((slot,), (old + more,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now, several, latest = [], False, 0
+        for r in rows:
+            now.append((r["at"], r["kind"], r["event_id"]))
+            latest = max(latest, r["at"])
+            if len(now) >= self.held:
+                self._put(now)
+                now, several = [], True
+        opened = [(v[0], v[1]) for v in self.opened.get()]
+        if several:
+            self._put(now)
+            for slot in sorted(k[0] for k in list(self.slots.keys())):
+                part = sorted(tuple(r) for r in self.slots.getValue((slot,))[0])
+                self.slots.removeKey((slot,))
+                opened = yield from self._pair(key[0], part, opened)
+        else:
+            opened = yield from self._pair(key[0], sorted(now), opened)
+        self.opened.clear()
+        if opened:
+            self.opened.put(opened)
+            # one timer a user: that of the last event
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(max((latest + self.seconds) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def _pair(self, user: int, rows: list[tuple[int, int, int]], opened: list[tuple[int, int]]):
+        for at, kind, event in rows:
+            opened = [v for v in opened if at - v[0] <= self.seconds]
             if kind == 0:
                 opened.append((at, event))
             elif opened:
                 seen, view = opened.pop()
-                pairs.append((key[0], event, view, at - seen))
-        state.update(([v[0] for v in opened], [v[1] for v in opened]))
-        state.setTimeoutTimestamp(max((int(rows["at"].max()) + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(pairs, columns=["user_id", "buy", "view", "seconds"])
+                yield Row(user_id=user, buy=event, view=view, seconds=at - seen)
+        return opened
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.opened.clear()
+        return iter(())
 
-    return run
+    def close(self) -> None:
+        pass
 
 
-def one_to_one(events: DataFrame, seconds: int = WINDOW, late: str = "1 hour") -> DataFrame:
+def one_to_one(events: DataFrame, seconds: int = WINDOW, late: str = "1 hour", held: int = HELD) -> DataFrame:
     """Each purchase takes the user's most recent view within the interval that none took before.
 
-    The state of a user is the views still open, which the interval bounds; it
-    is dropped by event time. Events of one batch are taken in order of time.
+    Events of one batch are taken in order of time. The state needs a store on disk: see ``state_on_disk``.
     """
     rows = events.where("event_type in ('view', 'purchase')").withWatermark("time", late)
     rows = rows.select("user_id", "event_id", "time", F.unix_timestamp("time").alias("at"), F.when(F.col("event_type") == "view", 0).otherwise(1).alias("kind"))
-    return rows.groupBy("user_id").applyInPandasWithState(
-        _pairing(seconds), "user_id long, buy long, view long, seconds long", "ats array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return rows.groupBy("user_id").transformWithState(Pairing(seconds, held), "user_id long, buy long, view long, seconds long", "append", "EventTime")
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started within it keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class Upsert:

@@ -32,6 +32,23 @@ def test_stateful_pairing_equals_the_fold(spark):
     assert found and found == _rows(signals.one_to_one(spark, SF))
 
 
+@pytest.mark.parametrize("held", [S.HELD, 50])
+def test_pairing_of_a_hot_user_equals_the_fold_over_batches(spark, tmp_path, held):
+    """One user has most events; what a task should not hold goes through the state, slot by slot."""
+    rows = spark.range(600).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id * 97 + id % 5) AS ts", "IF(id % 6 = 5, id % 4, 99) AS user_id",
+        "CASE WHEN id % 3 = 0 THEN 'view' WHEN id % 3 = 1 THEN IF(id % 2 = 0, 'view', 'purchase') ELSE 'purchase' END AS event_type", "1.0D AS value", "'' AS props")
+    (tmp_path / "d").mkdir()
+    rows.coalesce(1).write.parquet(str(tmp_path / "d/events.parquet"))
+    want = _rows(signals.one_to_one(spark, str(tmp_path / "d")))
+    path = str(tmp_path / "parts")
+    for k in range(3):  # one file after the other, since batches are taken by the files' times
+        rows.where(f"event_id div 200 = {k}").coalesce(1).write.mode("append").parquet(path)
+    with S.state_on_disk(spark):
+        found = _rows(S.drain(S.one_to_one(S.event_stream(spark, path, 1), held=held), "hot"))
+    assert len(want) > 100 and found == want
+
+
 def test_totals_are_the_same_over_several_batches(spark, parts):
     found = S.user_totals(S.event_stream(spark, parts, 1))
     whole = spark.read.parquet(parts).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("latest"))

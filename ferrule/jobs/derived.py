@@ -6,6 +6,8 @@ texts of the tables, so that every operator has rows of every kind, in proportio
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.sources.tables import table, texts
@@ -62,7 +64,8 @@ FROM part"""
 
 def rows(spark: SparkSession, d: str, sql: str) -> DataFrame:
     """``sql`` over the given tables."""
-    names = [t for t in ("part", "conversations", "documents", "events", "benchmark", "pages", "labels", "embeddings") if f"FROM {t}" in sql or f"JOIN {t}" in sql]
-    for name in names:
-        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
+    known = ("part", "conversations", "documents", "events", "benchmark", "pages", "labels", "embeddings")
+    names = [t for t in known if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
+    # a brace stands for a table; those of the text are doubled
+    sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}")) if names else sql
     return spark.sql(sql, **{name: (texts if name in ("documents", "pages") else table)(spark, d, name) for name in names})

@@ -115,11 +115,11 @@ def _gold(spark, d, most=3):
     live = names.select(F.col("name").alias("label"), F.lit(True).alias("live"))
     marked = raw.join(resolved, "label", "left").join(live, "label", "left")
     g = marked.groupBy("key").agg(
-        F.min_by("prompt", "ord").alias("prompt"), F.min_by("source", "ord").alias("source"), F.array_sort(F.collect_set("resolved")).alias("labels"), F.count("label").alias("n_raw"),
+        F.min("ord").alias("ord"), F.min_by("prompt", "ord").alias("prompt"), F.min_by("source", "ord").alias("source"), F.array_sort(F.collect_set("resolved")).alias("labels"), F.count("label").alias("n_raw"),
         F.array_sort(F.collect_set(F.when(F.col("live").isNull(), F.col("label")))).alias("stale_labels"), F.count(F.lit(1)).alias("seen"))
     first = marked.groupBy("key", "source").agg(F.min("ord").alias("ord")).groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"]), ",").alias("sources"))
     status = F.when((F.col("n_raw") > 0) & (F.size("labels") == 0), "stale").when(F.size("labels") > 0, "positive").otherwise("negative")
-    return g.join(first, "key").select("key", "prompt", "source", "sources", F.slice("labels", 1, most).alias("labels"), "stale_labels", "seen", status.alias("label_status"))
+    return g.join(first, "key").select("ord", "key", "prompt", "source", "sources", F.slice("labels", 1, most).alias("labels"), "stale_labels", "seen", status.alias("label_status"))
 
 
 def gold_build(spark, d):
@@ -264,7 +264,7 @@ WITH gr AS ({_GOLD}), gk AS (SELECT *, trim(regexp_replace(lower(prompt), '[^a-z
 gl AS (SELECT *, CASE WHEN label IN (SELECT name FROM nm) THEN label WHEN contains(label, ':') AND trim(regexp_extract(label, '([^:]*)$', 1)) IN (SELECT name FROM nm) THEN trim(regexp_extract(label, '([^:]*)$', 1))
   WHEN contains(label, '/') AND trim(regexp_extract(label, '([^/]*)$', 1)) IN (SELECT name FROM nm) THEN trim(regexp_extract(label, '([^/]*)$', 1)) END AS resolved FROM gk WHERE key <> ''),
 gs AS (SELECT key, string_agg(source, ',' ORDER BY o) AS sources FROM (SELECT key, source, min(ord) AS o FROM gl GROUP BY ALL) GROUP BY key),
-gg AS (SELECT key, arg_min(prompt, ord) AS prompt, arg_min(source, ord) AS source, coalesce(list_sort(list(DISTINCT resolved) FILTER (resolved IS NOT NULL)), []) AS l, count(label) AS n_raw,
+gg AS (SELECT key, min(ord) AS ord, arg_min(prompt, ord) AS prompt, arg_min(source, ord) AS source, coalesce(list_sort(list(DISTINCT resolved) FILTER (resolved IS NOT NULL)), []) AS l, count(label) AS n_raw,
   coalesce(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL AND label NOT IN (SELECT name FROM nm))), []) AS stale, count(*) AS seen FROM gl GROUP BY key),
 gf AS (SELECT gg.*, sources, l[1:3] AS labels, CASE WHEN n_raw > 0 AND len(l) = 0 THEN 'stale' WHEN len(l) > 0 THEN 'positive' ELSE 'negative' END AS label_status FROM gg JOIN gs USING (key))"""
 _L = ranking.FUSED + """, la AS (SELECT 'bm25' AS lane, query_id, item_id, rank FROM bmr WHERE rank <= 10 UNION ALL SELECT 'dense', query_id, item_id, rank FROM dn WHERE rank <= 10 UNION ALL SELECT 'fused', query_id, item_id, rank FROM z WHERE rank <= 10)"""

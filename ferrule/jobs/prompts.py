@@ -28,11 +28,16 @@ def skip_reason(text, source):
     )
 
 
-def admission(spark, d):
-    rows = _turns(spark, d).withColumn("reason", skip_reason(F.col("text"), F.col("role")))
-    words = X.split_words(F.lower("text"))
+def usable(text, source=None):
+    """Whether a prompt can be a labelled example: typed by someone, neither short nor long, and not one word over and over."""
+    words = X.split_words(F.lower(text))
     varied = F.size(F.array_distinct(words)) >= F.greatest(F.lit(4), F.floor(F.size(words) / 8))
-    return rows.select("conv_id", "turn", "reason", (F.col("reason").isNull() & F.length("text").between(12, 1500) & varied).alias("usable"))
+    return skip_reason(text, F.lit(None).cast("string") if source is None else source).isNull() & F.length(text).between(12, 1500) & varied
+
+
+def admission(spark, d):
+    rows = _turns(spark, d)
+    return rows.select("conv_id", "turn", skip_reason(F.col("text"), F.col("role")).alias("reason"), usable(F.col("text"), F.col("role")).alias("usable"))
 
 
 def keys(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CUTS = (1, 3, 5, 10)
@@ -17,16 +17,26 @@ def per_query(queries: DataFrame, gold: DataFrame, ranking: DataFrame, picks: Da
     return rows.select("query_id", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"), F.col("picked").isNull().alias("abstained"))
 
 
-def scores(rows: DataFrame) -> DataFrame:
-    """One row of means: over queries with labels for ranks, over those without for abstention."""
+def ranks(rows: DataFrame, gold: DataFrame, *by: str) -> DataFrame:
+    """(by..., query_id, rank): ranks of gold pairs (query_id, item_id) in rows (by..., query_id, item_id, rank).
+
+    Kept are ranks up to the last cut and each query's first: no more enters a score, however many pairs there are.
+    """
+    found = rows.join(gold, ["query_id", "item_id"]).select(*by, "query_id", "rank")
+    first = found.groupBy(*by, "query_id").agg(F.min("rank").alias("rank")).where(F.col("rank") > CUTS[-1])
+    return found.where(F.col("rank") <= CUTS[-1]).unionByName(first)
+
+
+def scores(rows: DataFrame, by: str | None = None, *more: Column) -> DataFrame:
+    """A row of means (for each value of ``by``): over queries with labels for ranks, over those without for abstention."""
     positive = F.col("n_labels") > 0
     first = F.try_element_at("ranks", F.lit(1))
     dcg = F.aggregate(F.filter("ranks", lambda r: r <= 10), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest("n_labels", F.lit(1)), F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     mean = lambda x: F.round(F.avg(F.when(positive, x)), 4)
     hit = lambda k: F.coalesce((first <= k).cast("double"), F.lit(0.0))
-    return rows.agg(
+    return (rows.groupBy(by) if by else rows.groupBy()).agg(
         *(mean(hit(k)).alias(f"recall_{k}") for k in CUTS), mean(F.coalesce(1 / first, F.lit(0.0))).alias("mrr"), mean(dcg / ideal).alias("ndcg_10"),
         F.round(F.avg(F.when(~positive, F.col("abstained").cast("double"))), 4).alias("abstain_precision"),
-        F.count_if(positive).alias("n_positive"), F.count_if(~positive).alias("n_negative"),
+        F.count_if(positive).alias("n_positive"), F.count_if(~positive).alias("n_negative"), *more,
     )

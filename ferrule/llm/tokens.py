@@ -272,8 +272,8 @@ def _worker(vocabulary, key: int) -> Transducer:
     return kept(("tokens", key), lambda: Transducer(vocabulary.value))
 
 
-def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every row; no shuffle."""
+def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, keep: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of every row; no shuffle. Without ``keep`` a task lets go of its compiled states in the end."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     key = hash((path, id(vocabulary)))
 
@@ -282,6 +282,9 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         for batch in batches:
             counts = np.fromiter((t.tokens(x.as_py() or "", chunk) for x in batch.column(2)), np.int64, batch.num_rows)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
+        if not keep:
+            del t
+            kept("tokens", dict)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

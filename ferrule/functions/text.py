@@ -119,3 +119,21 @@ def typed_concepts(text: Column) -> Column:
         return F.when(F.array_contains(acc["seen"], w) | (w == ""), acc).when(extra.isNull(), miss).otherwise(hit)
 
     return F.aggregate(found, F.struct(none.alias("seen"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def tokenize_array(text: Column) -> Column:
+    """Normalised tokens of a text as an array, in order: for short texts, where a row for each is not worth it."""
+    stop = F.split(F.lit(" ".join(STOP)), " ")
+    variants = F.create_map(*(F.lit(x) for kv in VARIANTS.items() for x in kv))
+    kept = lambda w: ~F.array_contains(stop, w)
+
+    def parts(w: Column) -> Column:
+        more = F.filter(F.split(w, "[-.]"), lambda p: (F.length(p) > 2) & kept(p))
+        return F.when(w.contains("-") | w.contains("."), F.concat(F.array(w), more)).otherwise(F.array(w))
+
+    def stem(w: Column) -> Column:
+        cut = F.coalesce(*(F.when((F.length(w) > 4) & w.endswith(e), F.substring(w, F.lit(1), F.length(w) - len(e))) for e in ENDINGS))
+        return F.coalesce(F.element_at(variants, w), cut, w)
+
+    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9+#._-]+"), lambda x: F.btrim(x, F.lit("._-")))
+    return F.transform(F.flatten(F.transform(F.filter(words, lambda x: (F.length(x) >= 2) & kept(x)), parts)), stem)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.jobs import catalogue, choices, insql, lanes, lifecycle, logs, prompts, ranking, routing, scaffold, signals, stored, streams
+from ferrule.jobs import audits, catalogue, choices, insql, lanes, lifecycle, logs, prompts, ranking, routing, scaffold, signals, stored, streams
 
-_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES | choices.QUERIES | scaffold.QUERIES | catalogue.QUERIES | lifecycle.QUERIES | stored.QUERIES | routing.QUERIES | lanes.QUERIES | logs.QUERIES | insql.QUERIES
+_ALL = ranking.QUERIES | prompts.QUERIES | signals.QUERIES | streams.QUERIES | choices.QUERIES | scaffold.QUERIES | catalogue.QUERIES | lifecycle.QUERIES | stored.QUERIES | routing.QUERIES | lanes.QUERIES | logs.QUERIES | insql.QUERIES | audits.QUERIES
 
 
 def queries() -> dict:

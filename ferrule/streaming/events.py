@@ -151,7 +151,7 @@ class Upsert:
     """Sink for ``foreachBatch``: a table of one row per key, written anew as a version for each batch.
 
     Batch n reads version n - 1 and writes version n, so a batch that is run
-    again after a failure gives the same version. ``merge`` turns the rows of
+    again after a failure gives the same version; older ones are deleted. ``merge`` turns the rows of
     the version before and those of the batch into one row per key; both have
     the same columns.
     """
@@ -167,6 +167,9 @@ class Upsert:
             batch = batch.unionByName(batch.sparkSession.read.parquet(self.path(batch_id - 1)))
         self.merge(batch).write.mode("overwrite").parquet(self.path(batch_id))
         self.version = batch_id
+        spark = batch.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(self.path(batch_id - 2))
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def user_totals(events: DataFrame) -> DataFrame:

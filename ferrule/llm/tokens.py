@@ -91,22 +91,23 @@ def _byte_letters() -> dict[str, int]:
 class _Pieces(dict):
     """Tokens of each piece, found when first asked for."""
 
-    def __init__(self, find) -> None:
-        self.find = find
+    def __init__(self, find, most: int) -> None:
+        self.find, self.most = find, most
 
     def __missing__(self, piece: str) -> int:
         n = self.find(piece)
         if len(piece) <= LONG_PIECE:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = n
         return n
 
 
 class Transducer:
-    """Compiled tokenizer; use one per Python worker."""
+    """Compiled tokenizer; use one per Python worker. It keeps a share of the pieces and states that are kept at most."""
 
-    def __init__(self, vocabulary: dict) -> None:
+    def __init__(self, vocabulary: dict, share: int = 1) -> None:
+        self.most_pieces, self.most_states = KEPT_PIECES // share, KEPT_STATES // share
         letters = _byte_letters()
         as_bytes = {s: bytes(letters[c] for c in s) for s in vocabulary["vocab"] if all(c in letters for c in s)}
         self.ids = {b: vocabulary["vocab"][s] for s, b in as_bytes.items()}
@@ -125,7 +126,7 @@ class Transducer:
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pairs: dict[int, bool] = {}
         self.ends: tuple[dict, dict] = ({}, {})
-        self.pieces = _Pieces(self._piece)
+        self.pieces = _Pieces(self._piece, self.most_pieces)
         self._restart()
 
     def _restart(self) -> None:
@@ -180,7 +181,7 @@ class Transducer:
         key = a << 32 | b
         if (known := self.pairs.get(key)) is None:
             known = self._never_joined(self._spine(a, 1), self._spine(b, 0))
-            if len(self.pairs) > KEPT_PIECES:
+            if len(self.pairs) > self.most_pieces:
                 self.pairs = {}
             self.pairs[key] = known
         return known
@@ -197,7 +198,7 @@ class Transducer:
 
     def _piece(self, piece: str) -> int:
         raw = piece.encode("utf-8")
-        if len(self.last) > KEPT_STATES:
+        if len(self.last) > self.most_states:
             self._restart()
         step, last, emitted = self.step, self.last, self.emitted
         path, state = [0], 0
@@ -268,17 +269,17 @@ class Transducer:
         return self.scan([self.state_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
 
 
-def _worker(vocabulary, key: int) -> Transducer:
-    return kept(("tokens", key), lambda: Transducer(vocabulary.value))
+def _worker(vocabulary, key: int, share: int = 1) -> Transducer:
+    return kept(("tokens", key, share), lambda: Transducer(vocabulary.value, share))
 
 
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, keep: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every row; no shuffle. Without ``keep`` a task lets go of its compiled states in the end."""
+    """(doc_id, n_bytes, n_tokens) of every row; no shuffle. Without ``keep`` a task holds a quarter of the states and lets go of them in the end."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     key = hash((path, id(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _worker(vocabulary, key)
+        t = _worker(vocabulary, key, 1 if keep else 4)
         for batch in batches:
             counts = np.fromiter((t.tokens(x.as_py() or "", chunk) for x in batch.column(2)), np.int64, batch.num_rows)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])

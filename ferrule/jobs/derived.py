@@ -68,4 +68,4 @@ def rows(spark: SparkSession, d: str, sql: str) -> DataFrame:
     names = [t for t in known if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
     # a brace stands for a table; those of the text are doubled
     sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}")) if names else sql
-    return spark.sql(sql, **{name: (texts if name in ("documents", "pages") else table)(spark, d, name) for name in names})
+    return spark.sql(sql, **{name: (texts if name in ("documents", "pages", "part", "conversations") else table)(spark, d, name) for name in names})

@@ -102,7 +102,7 @@ def merged(entries: DataFrame, prompts: DataFrame) -> DataFrame:
     seen = stored(sightings(prompts).withColumn("set_id", _set_id(F.col("tokens"))))
     held = stored(entries.withColumn("set_id", _set_id(F.col("tokens"))))
     sets = stored(seen.groupBy("set_id").agg(F.first("tokens").alias("t")))
-    near = similar.pairs(sets, LEAST, held.select("set_id", F.col("tokens").alias("t")).dropDuplicates(["set_id"]))
+    near = similar.links(sets, LEAST, held.select("set_id", F.col("tokens").alias("t")).dropDuplicates(["set_id"]))
     # an entry may have drifted from the set that its key stands for: both belong to one group
     keys = seen.select("set_id", "key").join(held.select("key", F.col("set_id").alias("b")), "key").select(F.col("set_id").alias("a"), "b").where("a <> b")
     drifted = held.groupBy("set_id").agg(F.min("set_id").alias("b")).select(F.col("set_id").alias("a"), "b")

@@ -74,6 +74,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that may be broadcast, about 50 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """Stored ``ids`` (a long each), broadcast while they are few, so that a join with them does not shuffle texts."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 _kept: dict[object, object] = {}
 
 

@@ -12,7 +12,10 @@ similarity of ``LEAST`` or more:
 * the classes of a key stream by in blocks. In a block a greatest spanning
   forest by agreement of sketches is taken, as many links as classes at most,
   however many are alike; some classes of the blocks before stand in each block;
-* the links are checked against the sets themselves.
+* the links are checked against the sets themselves;
+* what blocks and forests left out follows: all pairs of a key that agree well
+  enough and lie in different groups by then are checked too. So no link between
+  classes that share a key is lost, and a group of copies is not paired out.
 
 Edge cases are those of ``simhash``: null text counts as empty, texts without
 a word are copies of each other, rows without a doc_id stay, of repeated rows
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm import simhash
-from ferrule.llm.common import components, kept, stored
+from ferrule.llm.common import components, few, kept, stored
 
 SHINGLE, LEAST = 5, 0.8
 BINS, BAND = 48, 4
@@ -41,18 +44,18 @@ BLOCK, FIRST = 256, 32
 
 
 def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, same, sketch): fingerprint, digest of the set of shingles, least hash of each bin (-1: none)."""
+    """(doc_id, fp, same, size, sketch): fingerprint, digest and size of the set of shingles, least hash of each bin (-1: none)."""
     edges = (np.arange(1, BINS, dtype=np.float64) / BINS * 2.0**64).astype(np.uint64)
 
-    def one(text: str | None) -> tuple[int, int, np.ndarray]:
+    def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
         h = simhash.hashes(text, shingle)
         if not len(h):
-            return 0, 0, np.full(BINS, -1, np.int32)
+            return 0, 0, 0, np.full(BINS, -1, np.int32)
         own = np.unique(h)
         at = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
         full = at[1:] > at[:-1]
         sketch = np.where(full, (own[np.minimum(at[:-1], len(own) - 1)] >> np.uint64(20) & np.uint64(0x7FFFFFFF)).astype(np.int64), -1)
-        return simhash.majority(h), int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True), sketch.astype(np.int32)
+        return simhash.majority(h), int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True), len(own), sketch.astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("near", dict)  # what another operator left in this process goes
@@ -60,12 +63,12 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = [one(t.as_py()) for t in batch.column(1)]
             if found:
                 fps = np.array([f[0] for f in found], np.uint64).view(np.int64)
-                sketches = np.concatenate([f[2] for f in found])
+                sketches = np.concatenate([f[3] for f in found])
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BINS), pa.array(sketches))
-                yield pa.record_batch([batch.column(0), pa.array(fps), pa.array([f[1] for f in found], pa.int64()), listed], ["doc_id", "fp", "same", "sketch"])
+                yield pa.record_batch([batch.column(0), pa.array(fps), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), listed], ["doc_id", "fp", "same", "size", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, same long, sketch array<int>")
+    return rows.mapInArrow(run, "doc_id long, fp long, same long, size long, sketch array<int>")
 
 
 def _keys(m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,11 +83,16 @@ def _keys(m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, key[rows].view(np.int64)
 
 
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal bins of each sketch of ``x`` with each of ``y``; bins that are empty in both do not count."""
+    both_empty = ((x < 0).astype(np.float32) @ (y < 0).astype(np.float32).T).astype(np.int64)
+    equal = sum((x[:, k, None] == y[None, :, k]).astype(np.uint8) for k in range(BINS))
+    return (equal - both_empty) / np.maximum(1, BINS - both_empty)
+
+
 def _forest(ids: np.ndarray, m: np.ndarray, old: int) -> list[tuple[int, int]]:
     """Links of a greatest spanning forest by agreement of sketches; the first ``old`` classes are not linked among themselves."""
-    both_empty = (m[:, None, :] < 0) & (m[None, :, :] < 0)
-    equal = ((m[:, None, :] == m[None, :, :]) & ~both_empty).sum(axis=2)
-    agree = equal / np.maximum(1, BINS - both_empty.sum(axis=2))
+    agree = _agreement(m, m)
     i, j = np.nonzero(np.triu(agree >= CHECKED, 1))
     keep = j >= old
     i, j = i[keep], j[keep]
@@ -104,8 +112,8 @@ def _forest(ids: np.ndarray, m: np.ndarray, old: int) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(classes: DataFrame, block: int = BLOCK, first: int = FIRST) -> DataFrame:
-    """(a, b) of classes (id, sketch) that share a key and agree well enough to be checked."""
+def keyed(classes: DataFrame) -> DataFrame:
+    """(key, id, n) of the keys that n classes (id, sketch) share, two or more; stored."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +122,13 @@ def candidates(classes: DataFrame, block: int = BLOCK, first: int = FIRST) -> Da
                 for rows, key in _keys(batch.column(1).flatten().to_numpy().reshape(-1, BINS)):
                     yield pa.record_batch([pa.array(key), pa.array(ids[rows])], ["key", "id"])
 
-    keyed = stored(classes.select("id", "sketch").mapInArrow(spread, "key long, id long"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = keyed.join(shared, "key").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
+    every = stored(classes.select("id", "sketch").mapInArrow(spread, "key long, id long"))
+    return stored(every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+
+
+def candidates(classes: DataFrame, of_key: DataFrame, block: int = BLOCK, first: int = FIRST) -> DataFrame:
+    """(a, b) of classes (id, sketch) that share a key and agree well enough to be checked: enough of them to join most that are alike."""
+    members = of_key.select("key", "id").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sketches, old = None, [], [], 0
@@ -144,9 +156,56 @@ def candidates(classes: DataFrame, block: int = BLOCK, first: int = FIRST) -> Da
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def left_out(classes: DataFrame, of_key: DataFrame, found: DataFrame, tried: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) of classes that share a key, agree well enough and are in different groups (node, root), without those in ``tried``.
+
+    Sets whose sizes alone rule out the similarity are no pair.
+
+    Of a key, the classes outside its greatest group are dealt out over blocks, and all of its classes meet each block.
+    """
+    named = of_key.where("n > 2").select("key", "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left")  # a key of two has no pair left
+    named = stored(named.select("key", "id", F.coalesce("root", "id").alias("root")))
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    split = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")).where("outside > 0")
+    rows = named.join(split, "key").withColumn("out", F.col("root") != F.col("main")).withColumn("blocks", F.ceil(F.col("outside") / block).cast("int"))
+    rows = rows.join(classes.select("id", "size", "sketch"), "id")
+    own = rows.where("out").withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.lit(False))
+    others = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", F.lit(True))
+    columns = ["key", "at", "other", "id", "root", "out", "size", "sketch"]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, waiting = None, [], []
+
+        def pairs() -> pa.RecordBatch:
+            a = b = np.zeros(0, np.int64)
+            if held and waiting:
+                (x, rx, _, nx, sx), (y, ry, out, ny, sy) = ([np.array(c) for c in zip(*rows)] for rows in (held, waiting))
+                # two classes outside the greatest group meet twice
+                near_size = np.minimum(nx[:, None], ny[None, :]) >= LEAST * np.maximum(nx[:, None], ny[None, :])
+                i, j = np.nonzero((_agreement(sx, sy) >= CHECKED) & near_size & (rx[:, None] != ry[None, :]) & (~out[None, :] | (x[:, None] < y[None, :])))
+                a, b = x[i], y[j]
+            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            key, at, other, ids, roots, out, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            sketches = batch.column(7).flatten().to_numpy().reshape(-1, BINS)
+            for k in range(len(key)):
+                if (key[k], at[k]) != now:
+                    yield pairs()
+                    now, held, waiting = (key[k], at[k]), [], []
+                elif len(waiting) >= block:
+                    yield pairs()
+                    waiting = []
+                (waiting if other[k] else held).append((ids[k], roots[k], out[k], sizes[k], sketches[k]))
+        yield pairs()
+
+    met = own.select(columns).unionByName(others.select(columns)).repartition("key", "at").sortWithinPartitions("key", "at", "other")
+    return met.mapInArrow(pair, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+
+
 def checked(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets of shingles have at least that Jaccard similarity."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    asked = few(stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +214,8 @@ def checked(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: fl
                 own = np.unique(simhash.hashes(text.as_py(), shingle)).view(np.int64)
                 yield pa.record_batch([pa.array([doc_id.as_py()], pa.int64()), pa.array([own], pa.list_(pa.int64()))], ["doc_id", "set"])
 
-    own = stored(rows.mapInArrow(sets, "doc_id long, set array<long>").dropDuplicates(["doc_id"]))
+    # the texts of repeated rows with one doc_id all count
+    own = stored(rows.mapInArrow(sets, "doc_id long, set array<long>"))
     both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("common", common).where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
@@ -164,14 +224,19 @@ def checked(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: fl
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: the smallest doc_id of its group."""
     marked = stored(sketched(docs.where("doc_id is not null"), shingle))
-    classes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("sketch", "doc_id").alias("sketch")))
-    links = checked(stored(candidates(classes)), docs, shingle)
+    classes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("size", "doc_id").alias("size"), F.min_by("sketch", "doc_id").alias("sketch")))
+    of_key = keyed(classes)
+    tried = stored(candidates(classes, of_key))
+    links = checked(tried, docs, shingle)
     # fingerprints within four bits, from one class of each fingerprint to another
     of_fp = stored(classes.groupBy("fp").agg(F.min("id").alias("id")))
     near = simhash.links(of_fp.select("fp"))
     near = near.join(of_fp.select(F.col("fp").alias("a"), F.col("id").alias("ia")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     same = classes.select("id", "fp").join(of_fp.select("fp", F.col("id").alias("a")), "fp").where("a <> id").select("a", F.col("id").alias("b"))
-    found = components(links.unionByName(near).unionByName(same))
+    found = stored(components(links.unionByName(near).unionByName(same)))
+    more = stored(left_out(classes, of_key, found, tried))
+    if not more.isEmpty():
+        found = components(checked(more, docs, shingle).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.select("same", "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return marked.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, stored
+from ferrule.llm.common import components, few, stored
 
 SHINGLE = 4
 SEED = 42
@@ -263,7 +263,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def kept_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` without the rows whose group (doc_id, component_id) has a smaller doc_id."""
     found = stored(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    gone = found.where("component_id <> doc_id").select("doc_id")
+    gone = few(found.where("component_id <> doc_id").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = found.where("component_id = doc_id and n > 1").select("doc_id")
     if again.isEmpty():

@@ -111,3 +111,22 @@ def test_pipeline_on_planted_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / "empty" / f"{name}.parquet"))
     assert P.run(spark, str(tmp_path / "empty")).collect() == []
+
+
+@pytest.mark.parametrize("n", [20, 700])
+def test_no_link_within_a_key_is_lost(spark, monkeypatch, n):
+    """All classes share a key. Of i, i + n and i + 2n the first two are alike, share no other key, and both agree better with the third."""
+    rng = random.Random(5)
+    sketches = {}
+    for i in range(n):
+        base = [1, 2, 3, 4] + [rng.randrange(1 << 30) for _ in range(near.BINS - 4)]
+        third = [rng.randrange(1 << 30) if k % 4 == 0 and k else x for k, x in enumerate(base)]
+        second = [rng.randrange(1 << 30) if k % 4 == 1 and 1 < k < 32 else x for k, x in enumerate(third)]
+        sketches |= {i: base, i + n: second, i + 2 * n: third}
+    rows = [(i, rng.getrandbits(63), i, 50, s) for i, s in sketches.items()]
+    marked = spark.createDataFrame(rows, "doc_id long, fp long, same long, size long, sketch array<int>")
+    true = spark.createDataFrame([(i, i + n) for i in range(n)], "a long, b long")
+    monkeypatch.setattr(near, "sketched", lambda *_: marked)
+    monkeypatch.setattr(near, "checked", lambda pairs, *_: pairs.join(true, ["a", "b"], "left_semi"))
+    found = {r.doc_id: r.component_id for r in near.groups(marked.selectExpr("doc_id", "'' AS text")).collect()}
+    assert found == {i: i % n if i < 2 * n else i for i in sketches}

@@ -35,6 +35,7 @@ columns named score, predicted or evidence are replaced, others are kept.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
@@ -109,20 +110,23 @@ class Index:
 
     def __init__(self, examples: Examples, rows: np.ndarray) -> None:
         """``rows``: numbers of the examples that are to be in the index."""
+        # a worker keeps the memory that this takes at its most: numbers are 32 bits wide, and what is used up goes at once
         e, rows = examples, np.asarray(rows, np.int64)
         labels = e.labels[rows]
         n, n1 = len(rows), int(labels.sum())
         self.rate = n1 / n if n else 0.0
         lengths = e.starts[rows + 1] - e.starts[rows]
-        at = np.repeat(e.starts[rows], lengths) + (np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-        ids, counts, owner = e.ids[at], e.counts[at], np.repeat(np.arange(n), lengths)
+        at = np.repeat((e.starts[rows] - (np.cumsum(lengths) - lengths)).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        ids, counts = e.ids[at], e.counts[at]
+        del at
         df = np.bincount(ids, minlength=len(e.names)).astype(np.float64)
-        toxic = np.bincount(ids, weights=labels[owner].astype(np.float64), minlength=len(e.names))
+        toxic = np.bincount(ids, weights=np.repeat(labels.astype(np.float64), lengths), minlength=len(e.names))
         self.weight = np.where(df > 0, np.log((1 + n) / (1 + df)) * relevance(toxic, df - toxic, n1, n - n1), 0.0)
         classes: dict[bytes, list] = {}
         for k in range(n):
             i, c = e.row(int(rows[k]))
-            known = classes.setdefault(i.tobytes() + b"|" + c.tobytes(), [len(i), k, 0, 0, []])
+            known = classes.setdefault(hashlib.sha256(i.tobytes() + b"|" + c.tobytes()).digest(), [len(i), k, 0, 0, []])
             known[2] += 1
             known[3] += int(labels[k])
             if len(known[4]) < 3 and e.doc_ids[rows[k]] is not None:
@@ -131,29 +135,40 @@ class Index:
         self.size = np.array([c[2] for c in found], np.float64)
         self.toxic = np.array([c[3] for c in found], np.float64)
         self.evidence = [c[4] for c in found]
-        number = np.full(n, -1)
-        number[[c[1] for c in found]] = np.arange(len(found))
-        owner = number[owner]
+        number = np.full(n, -1, np.int32)
+        number[[c[1] for c in found]] = np.arange(len(found), dtype=np.int32)
+        owner = np.repeat(number, lengths)
         keep = owner >= 0
         ids, counts, owner = ids[keep], counts[keep], owner[keep]
-        w = self.weight[ids] * (1 + np.log(counts))
+        w = np.log(counts)
+        del counts, keep
+        w += 1
+        w *= self.weight[ids]
         norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=len(found)))
-        w = w / np.where(norm > 0, norm, 1.0)[owner]
-        order = np.argsort(owner, kind="stable")
+        w /= np.where(norm > 0, norm, 1.0)[owner]
+        order = np.argsort(owner, kind="stable").astype(np.int32)
         self.row_starts = np.append(0, np.cumsum(np.bincount(owner, minlength=len(found))))
         self.row_ids, self.row_weights = ids[order], w[order]  # ids stay 32 bits wide
-        order = np.lexsort((owner, ids))
+        del order
+        order = np.lexsort((owner, ids)).astype(np.int32)
         self.starts = np.append(0, np.cumsum(np.bincount(ids, minlength=len(e.names))))
-        self.at, self.postings = owner[order].astype(np.int32), w[order]
+        self.at = owner[order]
+        del owner
+        self.postings = w[order]
+        del w
         # the postings of a term within a block follow each other: the largest weight of each such run
         self.n_blocks = len(found) // BLOCK + 1
-        run = ids[order].astype(np.int64) * self.n_blocks + self.at // BLOCK
+        run = ids[order].astype(np.int64)
+        del ids, order
+        run *= self.n_blocks
+        run += self.at // BLOCK
         first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+        run = run[first]
         self.most = np.maximum.reduceat(self.postings, first) if len(first) else np.zeros(0)
-        self.most_block = (run[first] % self.n_blocks).astype(np.int32)
+        self.most_block = (run % self.n_blocks).astype(np.int32)
         self.most_starts = np.searchsorted(first, self.starts)
         self.top = np.zeros(len(e.names))
-        np.maximum.at(self.top, run[first] // self.n_blocks, self.most)
+        np.maximum.at(self.top, run // self.n_blocks, self.most)
         self.block = np.arange(len(found)) // BLOCK
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.functions import words
 from ferrule.functions.text import item_hash, token_rows
 from ferrule.operators import search
 from ferrule.sources.shared import new_folder
@@ -64,18 +65,24 @@ class Catalogue:
         """(term, df) of a version."""
         return self._read(f"terms/version={version}", "term string, df long") if version >= 0 else self._empty("term string, df long")
 
-    def postings(self, version: int) -> DataFrame:
-        """The live postings of a version: each item's from the delta in which it was last tokenised."""
+    def postings(self, version: int, items: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+        """The live postings of a version: each item's from the delta in which it was last tokenised.
+
+        ``items``: (item_id, born) of the version's items that are wanted, ``terms``: (term), where not all are.
+        """
         if version < 0:
             return self._empty(_POSTINGS)
         born = [r["born"] for r in self.manifest(version).select("born").distinct().collect()]  # a row for each version that is still used
         rows = None
         for b in born:
             delta = self._read(f"postings/born={b}", _POSTINGS).withColumn("born", F.lit(b))
+            if terms is not None:  # before the items are looked up
+                delta = delta.join(terms, "term", "left_semi")
             rows = delta if rows is None else rows.unionByName(delta)
         if rows is None:
             return self._empty(_POSTINGS)
-        return rows.join(self.manifest(version).select("item_id", "born"), ["item_id", "born"]).drop("born")
+        wanted = self.manifest(version) if items is None else items
+        return rows.join(wanted.select("item_id", "born"), ["item_id", "born"], "left_semi").select("item_id", "term", "tf", "in_name")
 
     def counts(self, version: int) -> DataFrame:
         return self._read(f"counts/version={version}", _COUNTS)
@@ -110,7 +117,9 @@ class Catalogue:
         how = F.when(F.col("had").isNull(), "new").when(F.col("hash").isNull(), "lost").when(F.col("hash") == F.col("had"), "same").otherwise("changed")
         state.select("*", how.alias("how")).write.mode("overwrite").parquet(f"{self.folder}/changes/version={version}")
         state = self._read(f"changes/version={version}", "item_id long, hash string, had string, old_length long, born int, how string")
-        self._tokenise(rows.join(state.where("how in ('new', 'changed')").select("item_id"), "item_id", "left_semi"), version)
+        fresh = state.where("how in ('new', 'changed')").select("item_id")
+        # in the first version all items are new
+        self._tokenise(rows.join(fresh, "item_id", "left_semi") if version else rows.where("item_id is not null"), version)
         delta = self._read(f"postings/born={version}", _POSTINGS)
         self._manifest(state, delta, version)
         self._terms(state, delta, version)
@@ -123,9 +132,9 @@ class Catalogue:
         return version
 
     def _tokenise(self, rows: DataFrame, version: int) -> None:
-        own = token_rows(rows, F.concat_ws(" ", "name", "text"), "item_id").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        names = token_rows(rows.where("name is not null"), F.col("name"), "item_id").distinct().withColumn("in_name", F.lit(True))
-        own = own.join(names, ["item_id", "term"], "left").withColumn("in_name", F.coalesce("in_name", F.lit(False)))
+        own = words.term_counts(rows, F.concat_ws(" ", "name", "text"), "item_id", name=F.col("name")).withColumnRenamed("n", "tf")
+        if not words.comes_once(rows, "item_id"):
+            own = own.groupBy("item_id", "term").agg(F.sum("tf").alias("tf"), F.max("in_name").alias("in_name"))
         own.write.mode("overwrite").parquet(f"{self.folder}/postings/born={version}")
 
     def _manifest(self, state: DataFrame, delta: DataFrame, version: int) -> None:
@@ -139,8 +148,8 @@ class Catalogue:
         rows.write.mode("overwrite").parquet(f"{self.folder}/manifest/version={version}")
 
     def _terms(self, state: DataFrame, delta: DataFrame, version: int) -> None:
-        gone = state.where("how in ('changed', 'lost')").select("item_id")
-        lost = self.postings(version - 1).join(gone, "item_id", "left_semi").select("term", F.lit(-1).cast("long").alias("df"))
+        gone = state.where("how in ('changed', 'lost')").select("item_id", "born")
+        lost = self.postings(version - 1, gone).select("term", F.lit(-1).cast("long").alias("df"))
         moved = self.terms(version - 1).unionByName(lost).unionByName(delta.select("term", F.lit(1).cast("long").alias("df")))
         moved.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").write.mode("overwrite").parquet(f"{self.folder}/terms/version={version}")
 
@@ -162,7 +171,7 @@ class Catalogue:
         """What ``search`` needs to rank queries (query_id, text); texts of items are not read."""
         version = self.latest() if version is None else version
         asked = search.stored(token_rows(queries, F.col("text"), "query_id").distinct())
-        posted = self.postings(version).join(asked.select("term").distinct(), "term", "left_semi")
+        posted = self.postings(version, terms=asked.select("term").distinct())
         lengths = self.manifest(version).select("item_id", "length")
         return search.corpus(asked, posted, lengths, lengths.agg(F.count(F.lit(1)).alias("n")))
 

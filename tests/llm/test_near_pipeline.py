@@ -130,3 +130,29 @@ def test_no_link_within_a_key_is_lost(spark, monkeypatch, n):
     monkeypatch.setattr(near, "checked", lambda pairs, *_: pairs.join(true, ["a", "b"], "left_semi"))
     found = {r.doc_id: r.component_id for r in near.groups(marked.selectExpr("doc_id", "'' AS text")).collect()}
     assert found == {i: i % n if i < 2 * n else i for i in sketches}
+
+
+def test_crowds_of_almost_alike_texts_make_few_pairs(spark, monkeypatch):
+    """Texts of one origin, most of them alike to 0.6 or 0.7 only: their pairs are compared in place, and the links among them are found there."""
+    rng = random.Random(11)
+    base, texts = words(rng, 150), []
+    for i in range(150):
+        copy = list(base)
+        for k in rng.sample(range(150), 3):
+            copy[k] = f"own{i}of{k}"
+        texts.append(copy)
+    for i in range(0, 60, 3):
+        texts.append([*texts[i][:-1], f"last{i}"])
+    sets = [shingles(" ".join(t)) for t in texts]
+    fps = [simhash.fingerprint(" ".join(t), 5) for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if want[a] != want[b] and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 4):
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    given, checked = [], near.checked
+    monkeypatch.setattr(near, "candidates", lambda classes, of_key: classes.selectExpr("id AS a", "id AS b").where("false"))
+    monkeypatch.setattr(near, "checked", lambda pairs, *rest: given.append(pairs.count()) or checked(pairs, *rest))
+    found = {r.doc_id: r.component_id for r in near.groups(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert [found[i] for i in range(len(texts))] == want and 50 < len(set(want)) <= 150
+    assert sum(given) <= 4 * len(texts)

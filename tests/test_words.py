@@ -44,3 +44,18 @@ def test_texts_of_items_that_come_once_are_not_shuffled_by_term(spark):
     finally:
         search.stored = plain
     assert "MapInArrow" in calls[-1] and "Generate" not in calls[-1] and "hashpartitioning" not in calls[-1]
+
+
+def test_postings_of_items_that_come_once_are_not_joined_with_lengths(spark):
+    queries = spark.createDataFrame([(1, "clay kiln")], "query_id long, text string")
+    rows = [(1, "clay kiln kiln"), (2, "kiln fir oak"), (3, None), (None, "clay")]
+    calls, found = [], {}
+    plain, search.stored = search.stored, lambda df: calls.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or plain(df)
+    try:
+        for items in (rows, [*rows, (3, "")]):
+            found[len(items)] = search.over_texts(spark.createDataFrame(items, "item_id long, text string"), F.col("text"), queries).posted.collect()
+    finally:
+        search.stored = plain
+    plans = [plan for columns, plan in calls if "part" in columns]
+    assert not any(word in plans[0] for word in ("hashpartitioning", "SortMergeJoin", "HashJoin"))
+    assert {(r.item_id, r.term) for r in found[4]} == {(r.item_id, r.term) for r in found[5]} == {(1, "clay"), (1, "kiln"), (2, "kiln")}
